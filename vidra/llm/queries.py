@@ -17,5 +17,19 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(spark, _table(spark, sf_dir, "pages"))
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from vidra.llm.bpe import encode
+
+    return encode(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=False)
+
+
+def op10_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vidra.llm.licenses import scan
+
+    return scan(spark, _table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
