@@ -147,3 +147,24 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, n: int) -> list[np.ndarray]:
         else:
             out.append(ngram_hashes(h[a:b], b - a) if b > a else none)
     return out
+
+
+def parts(batch: pa.RecordBatch, column: int = 1, most: int = 4 << 20):
+    """The batch in slices of about ``most`` bytes of text, a row at least."""
+    if not batch.num_rows:
+        return
+    _, off = buffers(batch.column(column))
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(off, off[a] + most, "right")) - 1)
+        yield batch.slice(a, b - a)
+        a = b
+
+
+def per_row(mask: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Sum of ``mask`` over each row's bytes."""
+    out = np.zeros(len(off) - 1, np.float64 if mask.dtype.kind == "f" else np.int64)
+    full = np.flatnonzero(off[1:] > off[:-1])
+    if len(full):
+        out[full] = np.add.reduceat(mask, off[:-1][full], dtype=out.dtype)
+    return out

@@ -16,6 +16,24 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return round_trip(spark, _table(spark, sf_dir, "pages"))
 
+def op2_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vidra.llm.quality_fm import score
+
+    return score(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op3_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vidra.llm.perplexity import verdicts
+
+    return verdicts(spark, _table(spark, sf_dir, "documents"))
+
+
+def op5_langid_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vidra.llm.langid import predict
+
+    return predict(spark, _table(spark, sf_dir, "documents"))
+
+
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
