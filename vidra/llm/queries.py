@@ -34,6 +34,11 @@ def op5_langid_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(spark, _table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vidra.llm.ngram_jaccard import components
+
+    return components(spark, _table(spark, sf_dir, "documents"))
+
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
