@@ -28,6 +28,12 @@ def op3_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(spark, _table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vidra.llm.pii import find
+
+    return find(_table(spark, sf_dir, "documents"))
+
+
 def op5_langid_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vidra.llm.langid import predict
 
