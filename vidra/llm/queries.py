@@ -40,6 +40,12 @@ def op5_langid_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(spark, _table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vidra.llm.line_dedup import report
+
+    return report(spark, _table(spark, sf_dir, "documents"))
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vidra.llm.ngram_jaccard import components
 
