@@ -99,5 +99,6 @@ def ranked(asked: DataFrame, lexicon: DataFrame, freq: DataFrame | None = None,
         fr = F.coalesce("own_n", F.lit(0))
     hits = hits.select("query", "prev", "next", F.struct((-bi).alias("bi"), (-fr).alias("fr"), "cost", "form").alias("k"))
     found = hits.groupBy("query", "prev", "next").agg(F.slice(F.transform(F.array_sort(F.collect_list("k")), lambda k: k["form"]), 1, most).alias("suggestions"))
-    same = [asked[c].eqNullSafe(found[c]) for c in ("query", "prev", "next")]
-    return asked.join(found, same, "left").select(asked["query"], asked["prev"], asked["next"], F.coalesce("suggestions", F.array().cast("array<string>")).alias("suggestions"))
+    found = found.toDF("_q", "_p", "_n", "suggestions")
+    same = F.col("query").eqNullSafe(F.col("_q")) & F.col("prev").eqNullSafe(F.col("_p")) & F.col("next").eqNullSafe(F.col("_n"))
+    return asked.join(found, same, "left").select("query", "prev", "next", F.coalesce("suggestions", F.array().cast("array<string>")).alias("suggestions"))

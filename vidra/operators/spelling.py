@@ -45,8 +45,8 @@ def check(tokens: DataFrame, lexicon: DataFrame, freq: DataFrame | None = None,
     if suggestions:
         spell = F.when(F.col("rule") == "MK_SPELL", F.col("low"))
         asked = rows.filter("rule = 'MK_SPELL'").select(F.col("low").alias("query"), *(F.col(c) if bigram is not None else F.lit(None).cast("string").alias(c) for c in ("prev", "next")))
-        found = L.ranked(asked, lexicon, freq, bigram).withColumnsRenamed({"prev": "_p", "next": "_n"})
-        on = [spell == found["query"]]
+        found = L.ranked(asked, lexicon, freq, bigram).toDF("_q", "_p", "_n", "suggestions")
+        on = [spell == F.col("_q")]
         if bigram is not None:
             on += [F.col("prev").eqNullSafe(F.col("_p")), F.col("next").eqNullSafe(F.col("_n"))]
         rows = rows.join(found, on, "left")

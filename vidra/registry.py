@@ -1,19 +1,338 @@
-"""Registered queries of the proofreading engine and their SQL."""
+"""Registered queries of the proofreading engine and their SQL.
+
+The test tables hold invented Latin prose, so the queries read it transliterated: every letter
+has a Cyrillic one, but documents whose id is divisible by five keep the Latin "a", which mixes
+scripts. The lexicon of a query are the words that at least ``KNOWN_FROM`` documents have.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vidra.functions import fixed
+from vidra.functions import text as X
+from vidra.operators import grammar, lexicon, morphology, ngrams, spelling
+from vidra.operators.tokens import tokens
+from vidra.plans import etl, evaluate, settings
+from vidra.plans.checker import Checker, collected
+
+KNOWN_FROM = 3
+_LATIN, _CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абцдефгхијклмнопќрстувљџњз"
+SETTINGS = {"rulesOff": ["MK_SPELL"], "userWords": ["ла"], "siteOff": ["src0"]}
+# A vocabulary with readings for made-up sentences.
+_WORDS = (
+    "убавата книгата книга убава убаво два две пет книги градови града град тој таа тие ја го ми ѝ и не сака сакаат видов дошол дошла по нај добар подобар најдобар . , ! Видов несака"
+).split()
+_MORPH = [
+    ("книга", "книга", "n f sg nom ind"), ("книгата", "книга", "n f sg nom def"), ("книги", "книга", "n f pl nom ind"), ("убава", "убав", "adj f sg nom ind"), ("убавата", "убав", "adj f sg nom def"),
+    ("убаво", "убав", "adj nt sg nom ind"), ("град", "град", "n m sg nom ind"), ("градови", "град", "n m pl nom ind"), ("града", "град", "n m pl nom ind"), ("два", "два", "num m nom ind"), ("две", "два", "num f nom ind"),
+    ("пет", "пет", "num mfn nom ind"), ("тој", "тој", "prn pers p3 m sg nom"), ("таа", "таа", "prn pers p3 f sg nom"), ("тие", "тие", "prn pers p3 mfn pl nom"), ("ја", "clitic", "prn pers clt p3 f sg acc"),
+    ("го", "clitic", "prn pers clt p3 m sg acc"), ("ми", "ми", "prn pers clt p1 mfn sg dat"), ("ѝ", "clitic", "prn pers clt p3 f sg dat"), ("и", "clitic", "prn pers clt p3 f sg dat"), ("и", "и", "cnjcoo"), ("не", "не", "adv"),
+    ("сака", "сака", "vblex impf tv pres p3 sg"), ("сакаат", "сака", "vblex impf tv pres p3 pl"), ("видов", "види", "vblex perf tv aor p1 sg"), ("дошол", "дојде", "vblex perf lp m sg"), ("дошла", "дојде", "vblex perf lp f sg"),
+    ("добар", "добар", "adj m sg nom ind"), ("подобар", "добар", "adj m sg nom ind"), ("најдобар", "добар", "adj m sg nom ind"),
+]
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text, source): the documents in Cyrillic."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.lower("text").alias("text"), "source")
+    some, every = F.translate("text", _LATIN[1:], _CYRILLIC[1:]), F.translate("text", _LATIN, _CYRILLIC)
+    return rows.withColumn("text", F.when(F.col("doc_id") % 5 == 0, some).otherwise(every))
+
+
+def made_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text): a sentence of twelve vocabulary words for each document, chosen by arithmetic on its id."""
+    vocabulary = F.array(*map(F.lit, _WORDS))
+    word = lambda k: F.element_at(vocabulary, (F.pmod(F.col("doc_id") * 31 + k * (F.col("doc_id") % 13 + 7), F.lit(len(_WORDS))) + 1).cast("int"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(11)), word), " ").alias("text"))
+
+
+def morph(spark: SparkSession) -> DataFrame:
+    rows = [(s, lemma, t.split(), i) for i, (s, lemma, t) in enumerate(_MORPH)]
+    return morphology.build(spark.createDataFrame(rows, "surface string, lemma string, tags array<string>, place long"))
+
+
+def vocabulary(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(w.lower(),) for w in _WORDS if w.isalpha()], "form string").distinct()
+
+
+def known(documents: DataFrame) -> DataFrame:
+    """(form): words of at least KNOWN_FROM documents."""
+    words = documents.select("doc_id", F.explode(X.words(X.tokenize("text"))).alias("t")).select("doc_id", F.lower("t.text").alias("form")).distinct()
+    return words.groupBy("form").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= KNOWN_FROM).select("form")
+
+
+def lines(documents: DataFrame) -> DataFrame:
+    return documents.select(F.explode(F.split("text", "\n", -1)).alias("line"))
+
+
+def _distinct_words(d: DataFrame) -> DataFrame:
+    return d.select(F.explode(X.words(X.tokenize("text"))).alias("t")).select(F.col("t.text").alias("word")).distinct()
+
+
+def t1_tokenize(spark, sf_dir):
+    return tokens(docs(spark, sf_dir)).select("doc_id", "idx", "text", "char_start", "char_end", "kind")
+
+
+def t8_scripts(spark, sf_dir):
+    chars = docs(spark, sf_dir).select(F.explode(F.split("text", "")).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    return chars.filter("c <> ''").select("c", "n", X.script_of("c").alias("script"), X.is_mk_letter("c").alias("mk"), X.is_cyrillic("c").alias("cyrillic"), X.is_word_internal("c").alias("internal"))
+
+
+def t11_words(spark, sf_dir):
+    words = _distinct_words(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return words.select("word", X.is_acronym("word").alias("acronym"), X.is_all_latin("word").alias("latin"), X.capitalize_first("word").alias("capitalized"), X.match_case("word", F.lit("збор")).alias("cased"))
+
+
+def t14_normalize(spark, sf_dir):
+    return _distinct_words(docs(spark, sf_dir)).select("word", X.normalize("word").alias("normalized"), X.script_issue("word").alias("issue"))
+
+
+def t17_candidates(spark, sf_dir):
+    words = _distinct_words(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return words.select("word", X.candidates("word").alias("readings"), X.transliterate("word").alias("first"))
+
+
+def l1_contains(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    words = tokens(d).filter("kind = 'word'")
+    return lexicon.contains(words, known(d), "text", "known").groupBy("doc_id").agg(F.count(F.lit(1)).alias("words"), F.count_if("known").alias("known"))
+
+
+def l3_compounds(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    hyphened = d.select("doc_id", F.regexp_replace("text", r"\. ", "-").alias("text"))
+    return lexicon.compounds(_distinct_words(hyphened), known(d)).select("word", "compound")
+
+
+def l5_suggest(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    words = lexicon.contains(_distinct_words(d), known(d), "word", "known").filter("not known").select(F.lower("word").alias("query")).distinct()
+    return lexicon.suggest(words, known(d), 5).select("query", "form", "cost", "place")
+
+
+def l7_cost(spark, sf_dir):
+    """Cost of every pair of neighbouring words in the alphabetical list of known words."""
+    from pyspark.sql import Window as W
+
+    forms = known(docs(spark, sf_dir)).withColumn("first", F.substring("form", 1, 1))
+    pairs = forms.withColumn("next", F.lead("form").over(W.partitionBy("first").orderBy("form"))).filter("next is not null")
+    return pairs.select("form", "next", X.weighted_cost("form", "next").alias("cost"))
+
+
+def l12_top_next(spark, sf_dir):
+    pairs = ngrams.bigrams(lines(docs(spark, sf_dir)), None)
+    asked = pairs.select("prev", F.substring("word", 1, 2).alias("prefix")).distinct()
+    return ngrams.top_next(asked, pairs, 3)
+
+
+def l15_alternatives(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    words = spelling.neighbours(tokens(d)).select(F.lower("text").alias("word"), "prev", "next")
+    return ngrams.alternatives(words.filter("prev is not null and next is not null"), known(d), ngrams.frequencies(lines(d), None), ngrams.bigrams(lines(d), None))
+
+
+def m1_analyze(spark, sf_dir):
+    words = made_up(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", " ")).alias("at", "word"))
+    rows = morphology.analyze(words, morph(spark), "word").select("doc_id", "at", "word", F.explode_outer("readings").alias("r"))
+    return rows.select("doc_id", "at", "word", "r.lemma", "r.pos", "r.gender", "r.number", "r.defn", "r.person", F.array_join("r.tags", " ").alias("tags"))
+
+
+def r_spelling(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    return Checker(known(d)).check(d, suggestions=False).select("doc_id", "rule", "severity", "char_start", "char_end", "text", F.array_join("suggestions", "|").alias("suggestions"))
+
+
+def r5_suggestions(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    checker = Checker(known(d), freq=ngrams.frequencies(lines(d)), bigram=ngrams.bigrams(lines(d)))
+    return checker.check(d).select("doc_id", "rule", "char_start", "char_end", "text", F.array_join("suggestions", "|").alias("suggestions"))
+
+
+def r3_latin(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    return Checker(known(d)).check(spark.read.parquet(f"{sf_dir}/documents.parquet"), suggestions=False).filter("rule = 'MK_LATIN_TEXT'").select("doc_id", "char_start", "text", F.array_join("suggestions", "|").alias("suggestions"))
+
+
+def g_grammar(spark, sf_dir):
+    found = grammar.check(tokens(made_up(spark, sf_dir), together=True), vocabulary(spark), morph(spark))
+    return found.select("doc_id", "rule", "rule_order", "severity", "char_start", "char_end", "text", F.array_join("suggestions", "|").alias("suggestions"))
+
+
+def g9_space(spark, sf_dir):
+    spaced = docs(spark, sf_dir).select("doc_id", F.regexp_replace("text", r"\.\n", " .\n").alias("text"))
+    found = grammar.check(tokens(spaced, together=True), vocabulary(spark), morph(spark)).filter("rule = 'MK_SPACE_BEFORE_PUNCT'")
+    return found.select("doc_id", "char_start", "char_end", "text")
+
+
+def e6_frequencies(spark, sf_dir):
+    return ngrams.frequencies(lines(docs(spark, sf_dir)))
+
+
+def e7_bigrams(spark, sf_dir):
+    return ngrams.bigrams(lines(docs(spark, sf_dir)))
+
+
+def e8_gaps(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    corpora = d.select(F.explode(F.split("text", "\n", -1)).alias("line"), "source", F.col("doc_id").alias("place"))
+    return etl.gaps(corpora, known(d)).select("word", "n")
+
+
+def _spelled(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    return d, Checker(known(d)).check(d, suggestions=False)
+
+
+def e9_flag_rate(spark, sf_dir):
+    d, found = _spelled(spark, sf_dir)
+    return evaluate.flag_rate(d, found)
+
+
+def e9_by_rule(spark, sf_dir):
+    return evaluate.by_rule(_spelled(spark, sf_dir)[1])
+
+
+def e9_top_words(spark, sf_dir):
+    return evaluate.top_words(_spelled(spark, sf_dir)[1])
+
+
+def e10_shape(spark, sf_dir):
+    return evaluate.shape(_spelled(spark, sf_dir)[1])
+
+
+def e11_typos(spark, sf_dir):
+    return evaluate.typos(ngrams.frequencies(lines(docs(spark, sf_dir))))
+
+
+def e15_settings(spark, sf_dir):
+    d = settings.enabled_sources(docs(spark, sf_dir), SETTINGS)
+    found = settings.apply(Checker(known(docs(spark, sf_dir))).check(d, suggestions=False), SETTINGS)
+    return found.select("doc_id", "rule", "char_start", "text")
+
+
+def t25_fixes(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    found = Checker(known(d)).check(d, suggestions=False).filter("rule = 'MK_HOMOGLYPH'")
+    return settings.apply_first_fixes(d, found).select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+
+
+def k5_json(spark, sf_dir):
+    d, found = _spelled(spark, sf_dir)
+    return collected(found).select("doc_id", F.size("diagnostics").alias("n"), F.sha2(F.to_json("diagnostics"), 256).alias("sha256"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The check of all documents, without suggestions."""
+    return r_spelling(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    every = [
+        t1_tokenize, t8_scripts, t11_words, t14_normalize, t17_candidates, l1_contains, l3_compounds, l5_suggest, l7_cost, l12_top_next, l15_alternatives, m1_analyze, r_spelling, r5_suggestions, r3_latin,
+        g_grammar, g9_space, e6_frequencies, e7_bigrams, e8_gaps, e9_flag_rate, e9_by_rule, e9_top_words, e10_shape, e11_typos, e15_settings, t25_fixes, k5_json,
+    ]
+    return {f.__name__: f for f in every}
+
+
+# The same in SQL.
+
+_D = f"d AS (SELECT doc_id, source, CASE WHEN doc_id % 5 = 0 THEN translate(lower(text), '{_LATIN[1:]}', '{_CYRILLIC[1:]}') ELSE translate(lower(text), '{_LATIN}', '{_CYRILLIC}') END AS text FROM documents)"
+_SEP = r"[''\x{2019}\x{02BC}-]"
+_UNIT = rf"\s*(?:[\p{{L}}\p{{N}}]+(?:{_SEP}[\p{{L}}\p{{N}}]+)*|{_SEP}\p{{L}}[\p{{L}}\p{{N}}]*(?:{_SEP}\p{{L}}[\p{{L}}\p{{N}}]*)*|[^\s])"
+
+
+def _tokens(of: str, name: str = "t") -> str:
+    return (
+        f"{name}u AS (SELECT doc_id, regexp_extract_all(text, '{_UNIT}') AS us FROM {of}), {name}v AS (SELECT doc_id, unnest(us) AS u, generate_subscripts(us, 1) - 1 AS idx FROM {name}u), "
+        f"{name}w AS (SELECT doc_id, idx, u, regexp_replace(u, '^\\s+', '') AS text, sum(length(u)) OVER (PARTITION BY doc_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS e FROM {name}v), "
+        f"{name} AS (SELECT doc_id, idx::INT AS idx, text, (e - length(text))::INT AS char_start, e::INT AS char_end, u <> text AS gap, "
+        f"CASE WHEN regexp_matches(text, '\\p{{L}}') THEN 'word' WHEN regexp_matches(text, '\\p{{N}}') THEN 'number' ELSE 'punct' END AS kind FROM {name}w)"
+    )
+
+
+_KNOWN = f"k AS (SELECT lower(text) AS form FROM t WHERE kind = 'word' GROUP BY 1 HAVING count(DISTINCT doc_id) >= {KNOWN_FROM})"
+_MK = f"[{X.MK}]"
+_CYR = r"[\x{0400}-\x{052F}\x{2DE0}-\x{2DFF}\x{A640}-\x{A69F}]"
+_FOREIGN_SQL = rf"regexp_matches(regexp_replace(§, '{_MK}', '', 'g'), '{_CYR}')"
+_LATIN_SQL = rf"regexp_matches(regexp_replace(§, '{_CYR}', '', 'g'), '\p{{L}}')"
+
+
+def _normal(x: str) -> str:
+    foreign = fixed.FOREIGN | {k.upper(): v[:1].upper() + v[1:] for k, v in fixed.FOREIGN.items()}
+    single = fixed.LOOKALIKES | {k: v for k, v in foreign.items() if len(v) == 1}
+    out = f"translate({x}, '{''.join(single)}', '{''.join(single.values())}')"
+    for k, v in foreign.items():
+        if len(v) != 1:
+            out = f"replace({out}, '{k}', '{v}')"
+    return out
+
+
+_ISSUE = f"CASE WHEN {_FOREIGN_SQL} THEN 'ForeignCyrillic' WHEN regexp_matches(§, '{_MK}') AND {_LATIN_SQL} THEN 'Homoglyph' END"
+_ACRONYM = r"(length(§) BETWEEN 2 AND 5 AND NOT regexp_matches(regexp_replace(§, '\p{Lu}', '', 'g'), '\p{L}'))"
+_SERB = "sr(low, mk) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in fixed.SERBIAN.items()) + ")"
+# No run of Latin words is left in the transliterated text that reads as a known word.
+_SPELLED = (
+    f"w0 AS (SELECT *, lower(text) AS low, {_normal('text')} AS fixed, {_ISSUE.replace('§', 'text')} AS issue, {_LATIN_SQL.replace('§', 'text')} AND NOT regexp_matches(text, '{_CYR}') AS latin FROM t WHERE kind = 'word' AND NOT regexp_matches(text, '\\p{{N}}')), "
+    "w1 AS (SELECT w0.*, k.form IS NOT NULL AS known, k2.form IS NOT NULL AS fixed_known, sr.mk FROM w0 LEFT JOIN k ON k.form = low LEFT JOIN k k2 ON k2.form = lower(fixed) LEFT JOIN sr ON sr.low = w0.low), "
+    "cp AS (SELECT text, unnest(string_split(low, '-')) AS p FROM (SELECT DISTINCT text, low FROM w0 WHERE contains(text, '-'))), cw AS (SELECT text FROM cp LEFT JOIN k ON k.form = p GROUP BY 1 HAVING bool_and(p <> '' AND k.form IS NOT NULL)), "
+    f"w2 AS (SELECT *, CASE WHEN issue = 'ForeignCyrillic' THEN 'MK_FOREIGN_CYRILLIC' WHEN issue = 'Homoglyph' THEN 'MK_HOMOGLYPH' WHEN latin THEN NULL WHEN mk IS NOT NULL AND NOT (known AND regexp_matches(text, '^\\p{{Lu}}')) THEN 'MK_SERBIANISM' "
+    f"WHEN known OR {_ACRONYM.replace('§', 'text')} OR length(text) = 1 OR low = 'нај' THEN NULL "
+    "WHEN text IN (SELECT text FROM cw) THEN NULL ELSE 'MK_SPELL' END AS rule FROM w1), "
+    "s AS (SELECT doc_id, rule, CASE WHEN issue IS NOT NULL THEN CASE WHEN fixed_known THEN 'error' ELSE 'warning' END WHEN rule = 'MK_SERBIANISM' THEN CASE WHEN known THEN 'info' ELSE 'warning' END ELSE 'error' END AS severity, "
+    "char_start, char_end, text, CASE WHEN issue IS NOT NULL THEN CASE WHEN fixed <> text THEN fixed ELSE '' END WHEN rule = 'MK_SERBIANISM' THEN CASE WHEN regexp_matches(text, '^\\p{Lu}') THEN upper(mk[1]) || mk[2:] ELSE mk END ELSE '' END AS suggestions FROM w2 WHERE rule IS NOT NULL)"
+)
+_COUNTED = r"regexp_extract_all(lower(line), '[Ѐ-Џа-шѓќѕџјљњѐѝ]+')"
+_LINES = f"l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM d), ws AS (SELECT list_filter({_COUNTED}, lambda w: length(w) BETWEEN 2 AND 32) AS ws FROM l)"
+_PAIRS = "b AS (SELECT prev, word, count(*) AS n FROM (SELECT unnest(ws[:-2]) AS prev, unnest(ws[2:]) AS word FROM ws WHERE len(ws) > 1) GROUP BY ALL)"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    spelled = f"WITH {_D}, {_tokens('d')}, {_KNOWN}, {_SERB}, {_SPELLED} "
+    plain = _tokens("documents")
+    out = {
+        "t1_tokenize": f"WITH {_D}, {_tokens('d')} SELECT doc_id, idx, text, char_start, char_end, kind FROM t",
+        "t8_scripts": (
+            f"WITH {_D}, c AS (SELECT c, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS c FROM d) WHERE c <> '' GROUP BY 1) SELECT c, n, CASE WHEN regexp_matches(c, '^{_MK}$') THEN 'Macedonian' WHEN regexp_matches(c, '^{_CYR}$') THEN 'ForeignCyrillic' "
+            f"WHEN regexp_matches(c, '^\\p{{L}}$') THEN 'Latin' WHEN regexp_matches(c, '^\\p{{N}}$') THEN 'Digit' ELSE 'Other' END AS script, regexp_matches(c, '^{_MK}$') AS mk, regexp_matches(c, '^{_CYR}$') AS cyrillic, regexp_matches(c, '^{_SEP}$') AS internal FROM c"
+        ),
+        "t11_words": (
+            f"WITH {plain}, w AS (SELECT DISTINCT text AS word FROM t WHERE kind = 'word') SELECT word, {_ACRONYM.replace('§', 'word')} AS acronym, NOT regexp_matches(word, '{_CYR}') AND regexp_matches(word, '\\p{{L}}') AS latin, "
+            "CASE WHEN word[1] = 'ß' THEN 'SS' ELSE upper(word[1]) END || word[2:] AS capitalized, CASE WHEN regexp_matches(word, '^\\p{Lu}') THEN 'Збор' ELSE 'збор' END AS cased FROM w"
+        ),
+        "t14_normalize": f"WITH {_D}, {_tokens('d')}, w AS (SELECT DISTINCT text AS word FROM t WHERE kind = 'word') SELECT word, {_normal('word')} AS normalized, {_ISSUE.replace('§', 'word')} AS issue FROM w",
+        "l1_contains": f"WITH {_D}, {_tokens('d')}, {_KNOWN} SELECT doc_id, count(*) AS words, count(k.form) AS known FROM t LEFT JOIN k ON k.form = lower(t.text) WHERE kind = 'word' GROUP BY 1",
+        "l12_top_next": (
+            f"WITH {_D}, {_LINES}, {_PAIRS}, a AS (SELECT DISTINCT prev, word[:2] AS prefix FROM b) SELECT prev, prefix, word, n, place::INT AS place FROM "
+            "(SELECT a.prev, a.prefix, b.word, b.n, row_number() OVER (PARTITION BY a.prev, a.prefix ORDER BY b.n DESC, b.word) AS place FROM a JOIN b ON a.prev = b.prev AND starts_with(b.word, a.prefix)) WHERE place <= 3"
+        ),
+        "r_spelling": spelled + "SELECT * FROM s",
+        "e6_frequencies": f"WITH {_D}, {_LINES} SELECT word, count(*) AS n FROM (SELECT unnest(ws) AS word FROM ws) GROUP BY 1 ORDER BY n DESC, word LIMIT 40000",
+        "e7_bigrams": f"WITH {_D}, {_LINES}, {_PAIRS} SELECT prev, word, n FROM b ORDER BY n DESC, prev, word LIMIT 50000",
+        "e9_flag_rate": spelled + ", x AS (SELECT sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))) AS words FROM d), f AS (SELECT count(*) AS flags FROM s) SELECT words::BIGINT AS words, flags, 100.0::DOUBLE * flags / greatest(words, 1) AS rate FROM x, f",
+        "e9_by_rule": spelled + "SELECT rule, count(*) AS n FROM s GROUP BY 1",
+        "e9_top_words": spelled + "SELECT text, count(*) AS n FROM s WHERE rule = 'MK_SPELL' GROUP BY 1 ORDER BY n DESC, text LIMIT 15",
+        "e15_settings": spelled + "SELECT s.doc_id, rule, char_start, s.text FROM s JOIN d USING (doc_id) WHERE rule <> 'MK_SPELL' AND lower(s.text) <> 'ла' AND source <> 'src0'",
+        "g9_space": (
+            f"WITH {_D}, p AS (SELECT doc_id, replace(text, '.' || chr(10), ' .' || chr(10)) AS text FROM d), {_tokens('p')}, x AS (SELECT *, lag(kind) OVER o AS k0, lag(char_end) OVER o AS e0, lead(kind) OVER o AS k2, lead(gap) OVER o AS g2 FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY idx)) "
+            "SELECT doc_id, e0 AS char_start, char_end, ' ' || text AS text FROM x WHERE kind = 'punct' AND gap AND k0 IN ('word', 'number') AND text IN (',', '.', '!', '?', ':', ';', '…', '”', '’', ')') AND NOT (text IN (':', ';') AND coalesce(k2 = 'punct' AND NOT g2, false))"
+        ),
+    }
+    values = ", ".join(f"('{s}', '{lemma}', '{t}', {i})" for i, (s, lemma, t) in enumerate(_MORPH))
+    words = ", ".join(f"'{w}'" for w in _WORDS)
+
+    def pick(table: dict[str, str]) -> str:
+        inside = ", ".join(f"'{k}'" for k in table)
+        cases = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items())
+        return f"CASE list_filter(string_split(tags, ' '), lambda x: x IN ({inside}))[1] {cases} END"
+
+    out["m1_analyze"] = (
+        f"WITH m(surface, lemma, tags, i) AS (VALUES {values}), s AS (SELECT doc_id, unnest(range(12)) AS i FROM documents), w AS (SELECT doc_id, i::INT AS "at", ([{words}])[(doc_id * 31 + i * (doc_id % 13 + 7)) % {len(_WORDS)} + 1] AS word FROM s) "
+        f"SELECT doc_id, \"at\", word, lemma, {pick(fixed.POS)} AS pos, {pick(fixed.GENDER)} AS gender, {pick(fixed.NUMBER)} AS number, {pick(fixed.DEFINITENESS)} AS defn, "
+        "CASE WHEN list_contains(string_split(tags, ' '), 'p1') THEN 1 WHEN list_contains(string_split(tags, ' '), 'p2') THEN 2 WHEN list_contains(string_split(tags, ' '), 'p3') THEN 3 END AS person, tags "
+        "FROM w LEFT JOIN m ON m.surface = CASE WHEN w.word IN (SELECT surface FROM m) THEN w.word ELSE lower(w.word) END"
+    )
+    return out
