@@ -330,7 +330,7 @@ def oracle_sql() -> dict[str, str]:
         return f"CASE list_filter(string_split(tags, ' '), lambda x: x IN ({inside}))[1] {cases} END"
 
     out["m1_analyze"] = (
-        f"WITH m(surface, lemma, tags, i) AS (VALUES {values}), s AS (SELECT doc_id, unnest(range(12)) AS i FROM documents), w AS (SELECT doc_id, i::INT AS "at", ([{words}])[(doc_id * 31 + i * (doc_id % 13 + 7)) % {len(_WORDS)} + 1] AS word FROM s) "
+        f"WITH m(surface, lemma, tags, i) AS (VALUES {values}), s AS (SELECT doc_id, unnest(range(12)) AS i FROM documents), w AS (SELECT doc_id, i::INT AS \"at\", ([{words}])[(doc_id * 31 + i * (doc_id % 13 + 7)) % {len(_WORDS)} + 1] AS word FROM s) "
         f"SELECT doc_id, \"at\", word, lemma, {pick(fixed.POS)} AS pos, {pick(fixed.GENDER)} AS gender, {pick(fixed.NUMBER)} AS number, {pick(fixed.DEFINITENESS)} AS defn, "
         "CASE WHEN list_contains(string_split(tags, ' '), 'p1') THEN 1 WHEN list_contains(string_split(tags, ' '), 'p2') THEN 2 WHEN list_contains(string_split(tags, ' '), 'p3') THEN 3 END AS person, tags "
         "FROM w LEFT JOIN m ON m.surface = CASE WHEN w.word IN (SELECT surface FROM m) THEN w.word ELSE lower(w.word) END"
