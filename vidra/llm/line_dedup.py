@@ -9,8 +9,9 @@ Emitting every deletion of every line would multiply the corpus, so the neighbou
 narrowed first, without loss: two lines within one edit, the longer of m code points, agree in
 their first or last floor(m / 2) code points. Lines that share such a half with another line
 (an equi-join on hashes) are cut into segments of ``SEGMENT`` code points; one edit lies in one
-segment, and all before and behind it agree. For each segment, the line emits the hash of its
-surroundings together with every variant of the segment that lacks one code point:
+segment, and all before and behind it agree. For each segment whose surroundings another line
+shares (again an equi-join on hashes), the line emits the hash of its surroundings together
+with every variant of the segment that lacks one code point:
 
 * with the place of the deletion, for lines of equal length (a replacement),
 * without it, to meet the undeleted segment of a line that is one code point shorter.
@@ -58,23 +59,35 @@ def halves(line: str) -> list[int]:
     return [_h(k, m, line[: m // 2] if k == 0 else line[n - m // 2 :]) for m in (n, n + 1) for k in (0, 1)]
 
 
-def variants(line: str) -> Iterator[tuple[int, int]]:
-    """(key, role): 0 a replacement, 1 the longer line's deletion, 2 the shorter line's whole segment."""
+def _segments(line: str) -> Iterator[tuple[int, int, int, int]]:
+    """(key of what surrounds a segment, its start, how much follows it, length of the longer partner)."""
     n = len(line)
     for m in (n, n + 1):
         for s in range(0, m, SEGMENT):
-            end = min(s + SEGMENT, m)
-            rest = m - end
-            around = _h(m, s, line[:s]), _h(rest, line[n - rest :])
-            middle = line[s : n - rest]
-            if m == n:
-                for i in range(len(middle)):
-                    less = middle[:i] + middle[i + 1 :]
-                    yield _h(*around, 1, i, less), 0
-                    if not i or middle[i] != middle[i - 1]:
-                        yield _h(*around, 0, less), 1
-            else:
-                yield _h(*around, 0, middle), 2
+            rest = m - min(s + SEGMENT, m)
+            yield _h(m, s, line[:s], rest, line[n - rest :]), s, rest, m
+
+
+def surroundings(line: str) -> list[int]:
+    """The keys of what surrounds each segment, for partners of up to the same length and for longer ones."""
+    return [key for key, *_ in _segments(line)]
+
+
+def variants(line: str, shared: set[int] | None = None) -> Iterator[tuple[int, int]]:
+    """(key, role) of the segments whose surroundings are ``shared``: 0 a replacement, 1 the longer line's deletion, 2 the shorter line's whole segment."""
+    n = len(line)
+    for around, s, rest, m in _segments(line):
+        if shared is not None and around not in shared:
+            continue
+        middle = line[s : n - rest]
+        if m > n:
+            yield _h(around, 0, middle), 2
+            continue
+        for i in range(len(middle)):
+            less = middle[:i] + middle[i + 1 :]
+            yield _h(around, 1, i, less), 0
+            if not i or middle[i] != middle[i - 1]:
+                yield _h(around, 0, less), 1
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -133,17 +146,29 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.groupBy("h").agg(F.first("line").alias("line"))
 
 
+def _surrounded(lines: DataFrame) -> DataFrame:
+    """(around, h) of the lines (h, line)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = surroundings(batch.column(1)[i].as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), batch.column(0).slice(i, 1).take(pa.array([0] * len(found), pa.int64()))], ["around", "h"])
+
+    return lines.select("h", "line").mapInArrow(run, "around long, h long")
+
+
 def _variants(lines: DataFrame) -> DataFrame:
-    """(key, role, h, place) of the lines (h, line, place)."""
+    """(key, role, h, place) of the lines (h, line, place, shared)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                found = list(variants(batch.column(1)[i].as_py()))
+                found = list(variants(batch.column(1)[i].as_py(), set(batch.column(4)[i].as_py())))
                 n = pa.array([0] * len(found), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([r for _, r in found], pa.int8()), batch.column(0).slice(i, 1).take(n), batch.column(2).slice(i, 1).take(n), batch.column(3).slice(i, 1).take(n)], ["key", "role", "h", "doc_id", "line_no"])
 
-    return lines.select("h", "line", "doc_id", "line_no").mapInArrow(run, "key long, role byte, h long, doc_id long, line_no int")
+    return lines.select("h", "line", "doc_id", "line_no", "shared").mapInArrow(run, "key long, role byte, h long, doc_id long, line_no int")
 
 
 def earlier(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -156,7 +181,10 @@ def earlier(spark: SparkSession, docs: DataFrame) -> DataFrame:
     near_able = keep(spark, half.join(common, "key", "left_semi").select("h").distinct(), "near-able")
     place = first.join(near_able, "h", "left_semi").select("h", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
     texts = keep(spark, _texts(docs, near_able).join(place, "h"), "line-texts")
-    keyed = keep(spark, _variants(texts), "variants")
+    around = keep(spark, _surrounded(texts), "surroundings")
+    agree = around.groupBy("around").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo < hi").select("around")
+    shared = around.join(agree, "around", "left_semi").groupBy("h").agg(F.collect_set("around").alias("shared"))
+    keyed = keep(spark, _variants(texts.join(shared, "h")), "variants")
     own = F.struct("doc_id", "line_no", "h")
     least = keyed.groupBy("key").agg(*(F.min(F.when(F.col("role") == i, own)).alias(f"m{i}") for i in range(3)), F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo < hi")
     met = F.when(F.col("role") == 0, F.col("m0")).when(F.col("role") == 1, F.col("m2")).otherwise(F.col("m1"))
