@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,7 +34,8 @@ def check(tokens: DataFrame, lexicon: DataFrame, freq: DataFrame | None = None,
         .when(F.col("known") | X.is_acronym("text") | (F.char_length("text") == 1) | (F.col("low") == "нај"), None)
         .otherwise("MK_SPELL")
     )
-    rows = rows.withColumn("rule", rule).filter("rule is not null")
+    # What is flagged is read three times below; it is a small share of the words.
+    rows = rows.withColumn("rule", rule).filter("rule is not null").persist(StorageLevel.MEMORY_AND_DISK)
     # Compounds: only unknown words with a hyphen are looked up, by part.
     whole = L.compounds(rows.filter("rule = 'MK_SPELL'").select(F.col("text").alias("word")), lexicon).filter("compound").select(F.col("word").alias("text"), F.lit(True).alias("compound"))
     rows = rows.join(whole, "text", "left").filter("rule <> 'MK_SPELL' or compound is null").drop("compound")

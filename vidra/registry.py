@@ -62,7 +62,8 @@ def vocabulary(spark: SparkSession) -> DataFrame:
 def known(documents: DataFrame) -> DataFrame:
     """(form): words of at least KNOWN_FROM documents."""
     words = documents.select("doc_id", F.explode(X.words(X.tokenize("text"))).alias("t")).select("doc_id", F.lower("t.text").alias("form")).distinct()
-    return words.groupBy("form").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= KNOWN_FROM).select("form")
+    # A lexicon is a table elsewhere; here it is worked out, and read several times.
+    return words.groupBy("form").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= KNOWN_FROM).select("form").persist()
 
 
 def lines(documents: DataFrame) -> DataFrame:
