@@ -226,9 +226,15 @@ def _lead(spark: SparkSession, docs: DataFrame, shared: DataFrame, where: DataFr
     lead = own.groupBy("token", "band").agg(F.min(F.struct(order.alias("o"), F.col("class"), F.col("size"), F.col("group"))).alias("lead"))
     pairs = own.join(lead, ["token", "band"]).filter((F.col("lead.group") != F.col("group"))).select("class", F.col("lead.class").alias("leader"), "size", F.col("lead.size").alias("lead_size"))
     pairs = pairs.filter(_can_link("size", "lead_size")).groupBy("class", "leader").agg(F.count(F.lit(1)).alias("n"))
-    best = keep(spark, pairs.groupBy("class").agg(F.max(F.struct("n", "leader")).alias("best")).select("class", F.col("best.leader").alias("leader")).join(where, "class"), "leaders")
-    if not best.limit(1).count():
+    found = pairs.groupBy("class").agg(F.max(F.struct("n", "leader")).alias("best")).select("class", F.col("best.leader").alias("leader"))
+    tried = keep(spark, found.join(where, "class"), "leaders")
+    if not tried.limit(1).count():
         return None
+    # The columns, a quarter of a set's size, rule most pairs out before whole sets travel.
+    left = _columns(docs, tried.select("doc_id", "class", "leader"), "class").withColumnsRenamed({"columns": "q_columns"}).join(tried.select("class", "leader"), "class")
+    right = _columns(docs, tried.select(F.col("leader").alias("class")).distinct().join(where, "class").select("doc_id", "class"), "class").withColumnsRenamed({"class": "leader", "columns": "g_columns"})
+    able = _opened(left.join(right, "leader").select(F.col("class").alias("q"), F.col("leader").alias("group"), "q_columns", "g_columns"), both=True)
+    best = keep(spark, able.select(F.col("q").alias("class"), F.col("group").alias("leader")).join(where, "class"), "able")
     left = _sets(docs, best.select("doc_id", "class", "leader"), "leader")
     right = _sets(docs, best.select(F.col("leader").alias("class")).distinct().join(where, "class").select("doc_id", "class"))
     both = left.select(F.col("class").alias("a"), F.col("leader").alias("b"), F.col("tokens").alias("left")).join(right.select(F.col("class").alias("b"), F.col("tokens").alias("right")), "b")
@@ -248,13 +254,14 @@ def _open(spark: SparkSession, docs: DataFrame, shared: DataFrame, where: DataFr
     at = held.groupBy("token", "group").agg(F.first("members").alias("members"), F.min("size").alias("least"), F.max("size").alias("most"))
     queries = held.select("token", F.col("class").alias("q"), F.col("size").alias("q_size"), F.col("group").alias("q_group"), F.col("members").alias("q_members"))
     fits = (F.col("q_size") * 100 >= F.col("least") * PERCENT) & (F.col("most") * 100 >= F.col("q_size") * PERCENT)
-    asked = queries.join(at, "token").filter((F.struct("q_members", "q_group") < F.struct("members", "group")) & fits)
-    asked = keep(spark, asked.select("q", "q_size", "group", "members").distinct(), "queries")
+    met = queries.join(at, "token").filter((F.struct("q_members", "q_group") < F.struct("members", "group")) & fits)
+    met = keep(spark, met.select("token", "q", "q_size", "group", "members"), "queries")
+    asked = met.select("q", "group", "members").distinct()
     matrix = _matrix(spark, docs, asked, where, groups)
     wanted = asked.select(F.col("q").alias("class")).distinct().join(where, "class").select("doc_id", "class")
     columns = _columns(docs, wanted, "class").withColumnsRenamed({"class": "q", "columns": "q_columns"})
     opened = keep(spark, _opened(asked.join(columns, "q").join(matrix, "group")), "opened")
-    pairs = queries.select("token", "q", "q_size").join(opened, "q").join(held.select("token", "group", F.col("class").alias("b"), "size"), ["token", "group"])
+    pairs = met.join(opened, ["q", "group"], "left_semi").select("token", "q", "q_size", "group").join(held.select("token", "group", F.col("class").alias("b"), "size"), ["token", "group"])
     pairs = keep(spark, pairs.filter(_can_link("q_size", "size")).select(F.col("q").alias("a"), "b").distinct(), "pairs")
     if not pairs.limit(1).count():
         return None
@@ -291,8 +298,8 @@ def _matrix(spark: SparkSession, docs: DataFrame, asked: DataFrame, where: DataF
     return out.unionByName(cells.groupBy("group").agg(F.collect_list("c").alias("g_columns")))
 
 
-def _opened(rows: DataFrame) -> DataFrame:
-    """(q, group) where the group's union leaves room for enough of the query's shingles."""
+def _opened(rows: DataFrame, both: bool = False) -> DataFrame:
+    """(q, group) where the group's union leaves room for enough of the query's shingles; ``both``: and the query for enough of the other's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inside = np.zeros(1 << COLUMN_BITS, bool)
@@ -302,7 +309,8 @@ def _opened(rows: DataFrame) -> DataFrame:
                 g = g.values.to_numpy(zero_copy_only=False).view(np.uint16)
                 q = q.values.to_numpy(zero_copy_only=False).view(np.uint16)
                 inside[g] = True
-                good.append(int(inside[q].sum()) >= needed(len(q)))
+                shared = int(inside[q].sum())
+                good.append(shared >= needed(len(q)) and (not both or 100 * shared >= PERCENT * (len(q) + len(g) - shared)))
                 inside[g] = False
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], ["q", "group"])
 
