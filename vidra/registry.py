@@ -38,7 +38,8 @@ _MORPH = [
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text, source): the documents in Cyrillic."""
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.lower("text").alias("text"), "source")
+    # The test tables are single files, which one task would read and cut up.
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(spark.sparkContext.defaultParallelism, "doc_id").select("doc_id", F.lower("text").alias("text"), "source")
     some, every = F.translate("text", _LATIN[1:], _CYRILLIC[1:]), F.translate("text", _LATIN, _CYRILLIC)
     return rows.withColumn("text", F.when(F.col("doc_id") % 5 == 0, some).otherwise(every))
 
