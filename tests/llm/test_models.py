@@ -118,3 +118,13 @@ def test_base_statistics_and_verdicts(spark):
     kept = {r.doc_id for r in perplexity.keep_good(spark, docs).collect()}
     assert kept == {i for i, r in rows.items() if r.kept}
     assert perplexity.verdicts(spark, docs.limit(0)).count() == 0
+
+
+def test_rare_languages_keep_their_clean_rows(spark):
+    rng = random.Random(12)
+    words = {c: ["".join(rng.choice(letters) for _ in range(rng.randrange(2, 9))) for _ in range(40 if c == "aa" else 900)] for c, letters in {"aa": "abcdefgh", "b1": "ijklé", "b2": "mnopö", "b3": "qrstñ"}.items()}
+    sizes = {"aa": 1200, "b1": 5, "b2": 30, "b3": 99}
+    rows = [(lang, " ".join(rng.choice(words[lang]) for _ in range(rng.randrange(60, 300)))) for lang, n in sizes.items() for _ in range(n)]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    kept = Counter(rows[r.doc_id][0] for r in perplexity.keep_good(spark, docs).collect())
+    assert all(kept[c] == n for c, n in sizes.items() if c != "aa") and kept["aa"] >= 1188, kept

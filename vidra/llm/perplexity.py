@@ -7,11 +7,13 @@ the discounts follow from that table by aggregation. What leaves Spark is hashed
 2**``SLOT_BITS`` slots an order, so the model has a size bound that the corpus cannot exceed:
 sorted arrays of slots, with the counts, totals and back-off masses beside them.
 
-A document's perplexity is per byte. Each language has a band around its median log perplexity,
-``WIDTH_LOW`` and ``WIDTH_HIGH`` robust deviations (interquartile range / 1.349) wide and never
-narrower than ``LEAST`` bits; documents outside it are rejected. Only documents that pass the
-base rules count for a band. Languages beyond the ``MAX_LANGUAGES`` most frequent, and those
-with fewer than ``MIN_DOCS`` such documents, share the band of all.
+A document's perplexity is per byte. Each language has a band around its own median log
+perplexity, ``WIDTH_LOW`` and ``WIDTH_HIGH`` robust deviations (interquartile range / 1.349) wide
+and never narrower than ``LEAST`` bits; documents outside it are rejected. Only documents that
+pass the base rules count for a band. The deviation is drawn towards the typical one within a
+language as if ``PRIOR_DOCS`` documents had that, and the band is wider by ``ERRORS`` standard
+errors of the median; both fade as a language has more documents, and no language is judged by
+another's median.
 
 Defined cases: a null or empty text has no words and fails the base rules; a null language is
 ``und``; equal rows count each and get equal verdicts; very long texts are scored whole, in
@@ -27,13 +29,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vidra.llm.kernels import buffers, mix, parts, per_row
-from vidra.llm.shared import keep, ship
+from vidra.llm.shared import count_upto, keep, ship
 
 ORDER, SLOT_BITS = 5, 21
 WIDTH_LOW, WIDTH_HIGH, LEAST = 9.0, 4.5, 0.1
-MIN_DOCS, MAX_LANGUAGES = 100, 10_000
+PRIOR_DOCS, ERRORS = 20, 3.0
+#: Bands sent to every executor; beyond it, a shuffle.
+MAX_BROADCAST_LANGUAGES = 10_000
 MIN_WORDS, MAX_REPEATED = 50, 50
 _BLOCK = 1 << 20
 _SYMBOL = np.zeros(256, bool)
@@ -219,64 +224,64 @@ def log_perplexity(model: Model, data: np.ndarray, off: np.ndarray) -> np.ndarra
 _STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def scored(spark: SparkSession, docs: DataFrame, model) -> DataFrame:
-    """doc_id, lang, the base statistics and ``bits``, the log perplexity."""
+def scored(spark: SparkSession, docs: DataFrame, model, whole: bool = False) -> DataFrame:
+    """doc, lang, the base statistics and ``bits``, the log perplexity; doc holds doc_id, or ``whole`` rows of those that pass the base rules."""
+    names = docs.columns
+    doc = docs.schema if whole else T.StructType([T.StructField("doc_id", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
-        for whole in batches:
-            for batch in parts(whole):
-                data, off = buffers(batch.column(1))
+        for every in batches:
+            for batch in parts(every, names.index("text")):
+                data, off = buffers(batch.column(names.index("text")))
                 stats = base_stats(data, off)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(stats[c]) for c in _STATS), pa.array(log_perplexity(own, data, off))], ["doc_id", "lang", *_STATS, "bits"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
-    return rows.mapInArrow(run, "doc_id long, lang string, " + ", ".join(f"{c} long" for c in _STATS) + ", bits double")
-
-
-def bands(scores: DataFrame) -> dict[str | None, tuple[float, float]]:
-    """Lowest and highest accepted log perplexity of each language; None is the band of all."""
+                if whole:
+                    good = ~failed(stats["n_words"], stats["n_repeat_words"])
+                    batch, stats = batch.filter(pa.array(good)), {k: v[good] for k, v in stats.items()}
+                    data, off = buffers(batch.column(names.index("text")))
+                held = names if whole else ["doc_id"]
+                row = pa.StructArray.from_arrays([batch.column(names.index(c)) for c in held], held)
+                lang = batch.column(names.index("lang")).fill_null("und")
+                yield pa.RecordBatch.from_arrays([row, lang, *(pa.array(stats[c]) for c in _STATS), pa.array(log_perplexity(own, data, off))], ["doc", "lang", *_STATS, "bits"])
+
+    casts = {"doc_id": "long", "text": "string", "lang": "string"}
+    rows = docs if whole else docs.select(*(F.col(c).cast(t).alias(c) for c, t in casts.items()))
+    out = T.StructType([T.StructField("doc", doc), T.StructField("lang", T.StringType()), *(T.StructField(c, T.LongType()) for c in _STATS), T.StructField("bits", T.DoubleType())])
+    return rows.mapInArrow(run, out)
+
+
+def bands(spark: SparkSession, scores: DataFrame) -> DataFrame:
+    """(lang, low, high): lowest and highest accepted log perplexity of each language with a row that passes the base rules."""
     good = scores.filter(~failed(F.col("n_words"), F.col("n_repeat_words")))
     quartiles = F.percentile_approx("bits", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(10_000)).alias("q")
-    rows = good.groupBy("lang").agg(quartiles, F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_DOCS).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
-    everything = good.agg(quartiles).collect()
-    found = {r["lang"]: r["q"] for r in rows} | {None: everything[0]["q"] if everything and everything[0]["q"] else [0.0, 0.0, 64.0]}
-    out = {}
-    for lang, (a, m, b) in found.items():
-        spread = max((b - a) / 1.349, 1e-9)
-        out[lang] = (m - max(WIDTH_LOW * spread, LEAST), m + max(WIDTH_HIGH * spread, LEAST))
-    return out
+    own = good.groupBy("lang").agg(quartiles, F.count(F.lit(1)).alias("n"))
+    own = keep(spark, own.select("lang", "n", F.col("q")[1].alias("m"), ((F.col("q")[2] - F.col("q")[0]) / 1.349).alias("s")), "bands")
+    typical = own.agg((F.sum((F.col("n") - 1) * F.col("s")) / F.sum(F.col("n") - 1)).alias("s")).collect()[0]["s"] or 0.0
+    spread = F.sqrt(((F.col("n") - 1) * F.col("s") ** 2 + PRIOR_DOCS * typical**2) / (F.col("n") - 1 + PRIOR_DOCS))
+    error = ERRORS * 1.2533 * F.col("spread") / F.sqrt("n")
+    low, high = (F.greatest(w * F.col("spread"), F.lit(LEAST)) + error for w in (WIDTH_LOW, WIDTH_HIGH))
+    return own.withColumn("spread", spread).select("lang", (F.col("m") - low).alias("low"), (F.col("m") + high).alias("high"))
+
+
+def judged(spark: SparkSession, scores: DataFrame) -> DataFrame:
+    """``scores`` with base_failed and kept."""
+    table = bands(spark, scores)
+    if count_upto(table, MAX_BROADCAST_LANGUAGES) <= MAX_BROADCAST_LANGUAGES:
+        table = F.broadcast(table)
+    bad = failed(F.col("n_words"), F.col("n_repeat_words"))
+    inside = F.coalesce(F.col("bits").between(F.col("low"), F.col("high")), F.lit(False))
+    return scores.join(table, "lang", "left").withColumns({"base_failed": bad, "kept": ~bad & inside}).drop("low", "high")
 
 
 def verdicts(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The base statistics, base_failed, perplexity and kept of every row."""
     model = spark.sparkContext.broadcast(fit(spark, docs))
-    scores = keep(spark, scored(spark, docs, model), "perplexities")
-    limits = bands(scores)
-    low, high = (F.coalesce(F.col(c), F.lit(limits[None][i])) for i, c in enumerate(("low", "high")))
-    # At most MAX_LANGUAGES + 1 rows.
-    table = F.broadcast(spark.createDataFrame([(k, *v) for k, v in limits.items() if k is not None], "lang string, low double, high double"))
-    bad = failed(F.col("n_words"), F.col("n_repeat_words"))
-    inside = F.col("bits").between(low, high)
-    return scores.join(table, "lang", "left").select("doc_id", *_STATS, bad.alias("base_failed"), (~bad & inside).alias("kept"), F.pow(F.lit(2.0), "bits").alias("perplexity"))
+    scores = keep(spark, scored(spark, docs.select("doc_id", "text", "lang"), model), "perplexities")
+    return judged(spark, scores).select("doc.doc_id", *_STATS, "base_failed", "kept", F.pow(F.lit(2.0), "bits").alias("perplexity"))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, that ``verdicts`` keeps."""
     model = spark.sparkContext.broadcast(fit(spark, docs))
-    limits = bands(keep(spark, scored(spark, docs, model), "perplexities"))
-    known = spark.sparkContext.broadcast(limits)
-    names = docs.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, low_high = model.value, known.value
-        for whole in batches:
-            for batch in parts(whole, names.index("text")):
-                data, off = buffers(batch.column(names.index("text")))
-                stats = base_stats(data, off)
-                bits = log_perplexity(own, data, off)
-                limit = np.array([low_high.get(x if x is not None else "und", low_high[None]) for x in batch.column(names.index("lang")).to_pylist()]).reshape(-1, 2)
-                good = ~failed(stats["n_words"], stats["n_repeat_words"]) & (bits >= limit[:, 0]) & (bits <= limit[:, 1])
-                yield batch.filter(pa.array(good))
-
-    return docs.mapInArrow(run, docs.schema)
+    scores = keep(spark, scored(spark, docs, model, whole=True), "perplexities")
+    return judged(spark, scores).filter("kept").select("doc.*")
