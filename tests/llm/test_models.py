@@ -128,3 +128,13 @@ def test_rare_languages_keep_their_clean_rows(spark):
     docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
     kept = Counter(rows[r.doc_id][0] for r in perplexity.keep_good(spark, docs).collect())
     assert all(kept[c] == n for c, n in sizes.items() if c != "aa") and kept["aa"] >= 1188, kept
+
+
+def test_rows_marked_by_symbols_go(spark):
+    rng = random.Random(13)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(300)]
+    clean = [" ".join(rng.choice(words) for _ in range(rng.randrange(80, 200))) for _ in range(200)]
+    junk = [" ".join(w + rng.choice(["%%%", "&&&", "###"]) * (rng.random() < 0.5) for w in t.split()) for t in clean[:10]] + [t.replace(" ", " | ") for t in clean[10:20]]
+    docs = spark.createDataFrame([(i, t, "aa") for i, t in enumerate(clean + junk)], "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in perplexity.keep_good(spark, docs).collect()}
+    assert not kept & set(range(200, 220)) and len(kept) >= 196

@@ -15,6 +15,11 @@ language as if ``PRIOR_DOCS`` documents had that, and the band is wider by ``ERR
 errors of the median; both fade as a language has more documents, and no language is judged by
 another's median.
 
+The widths are the narrowest, in steps of half a deviation, that reject at most one in a thousand
+of the rows labelled good with even ids in the sample of the README. Junk marked by symbols lies
+near the median, as the model learns it from the same corpus, so rows with more than
+``MAX_SYMBOLS`` symbols for every 100 words are rejected too, and do not count for a band.
+
 Defined cases: a null or empty text has no words and fails the base rules; a null language is
 ``und``; equal rows count each and get equal verdicts; very long texts are scored whole, in
 blocks; an empty table gives an empty model and no rows; other columns are ignored.
@@ -35,11 +40,13 @@ from vidra.llm.kernels import buffers, mix, parts, per_row
 from vidra.llm.shared import count_upto, keep, ship
 
 ORDER, SLOT_BITS = 5, 21
-WIDTH_LOW, WIDTH_HIGH, LEAST = 9.0, 4.5, 0.1
+WIDTH_LOW, WIDTH_HIGH, LEAST = 8.0, 4.0, 0.1
 PRIOR_DOCS, ERRORS = 20, 3.0
 #: Bands sent to every executor; beyond it, a shuffle.
 MAX_BROADCAST_LANGUAGES = 10_000
 MIN_WORDS, MAX_REPEATED = 50, 50
+#: Symbols for every 100 words.
+MAX_SYMBOLS = 10
 _BLOCK = 1 << 20
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -210,6 +217,11 @@ def failed(n_words, n_repeat_words):
     return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEATED * n_words)
 
 
+def marked(n_words, n_symbols):
+    """Too many symbols for the words, on numbers, arrays or columns."""
+    return 100 * n_symbols > MAX_SYMBOLS * n_words
+
+
 def log_perplexity(model: Model, data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Mean bits a byte of each text; 0 for empty texts."""
     total = np.zeros(len(off) - 1)
@@ -225,7 +237,7 @@ _STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def scored(spark: SparkSession, docs: DataFrame, model, whole: bool = False) -> DataFrame:
-    """doc, lang, the base statistics and ``bits``, the log perplexity; doc holds doc_id, or ``whole`` rows of those that pass the base rules."""
+    """doc, lang, the base statistics and ``bits``, the log perplexity; doc holds doc_id, or ``whole`` rows of those that pass the base rules and the symbol rule."""
     names = docs.columns
     doc = docs.schema if whole else T.StructType([T.StructField("doc_id", T.LongType())])
 
@@ -236,7 +248,7 @@ def scored(spark: SparkSession, docs: DataFrame, model, whole: bool = False) ->
                 data, off = buffers(batch.column(names.index("text")))
                 stats = base_stats(data, off)
                 if whole:
-                    good = ~failed(stats["n_words"], stats["n_repeat_words"])
+                    good = ~failed(stats["n_words"], stats["n_repeat_words"]) & ~marked(stats["n_words"], stats["n_symbols"])
                     batch, stats = batch.filter(pa.array(good)), {k: v[good] for k, v in stats.items()}
                     data, off = buffers(batch.column(names.index("text")))
                 held = names if whole else ["doc_id"]
@@ -251,8 +263,8 @@ def scored(spark: SparkSession, docs: DataFrame, model, whole: bool = False) ->
 
 
 def bands(spark: SparkSession, scores: DataFrame) -> DataFrame:
-    """(lang, low, high): lowest and highest accepted log perplexity of each language with a row that passes the base rules."""
-    good = scores.filter(~failed(F.col("n_words"), F.col("n_repeat_words")))
+    """(lang, low, high): lowest and highest accepted log perplexity of each language with a row that passes the base rules and the symbol rule."""
+    good = scores.filter(~failed(F.col("n_words"), F.col("n_repeat_words")) & ~marked(F.col("n_words"), F.col("n_symbols")))
     quartiles = F.percentile_approx("bits", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(10_000)).alias("q")
     own = good.groupBy("lang").agg(quartiles, F.count(F.lit(1)).alias("n"))
     own = keep(spark, own.select("lang", "n", F.col("q")[1].alias("m"), ((F.col("q")[2] - F.col("q")[0]) / 1.349).alias("s")), "bands")
@@ -270,7 +282,7 @@ def judged(spark: SparkSession, scores: DataFrame) -> DataFrame:
         table = F.broadcast(table)
     bad = failed(F.col("n_words"), F.col("n_repeat_words"))
     inside = F.coalesce(F.col("bits").between(F.col("low"), F.col("high")), F.lit(False))
-    return scores.join(table, "lang", "left").withColumns({"base_failed": bad, "kept": ~bad & inside}).drop("low", "high")
+    return scores.join(table, "lang", "left").withColumns({"base_failed": bad, "kept": ~bad & ~marked(F.col("n_words"), F.col("n_symbols")) & inside}).drop("low", "high")
 
 
 def verdicts(spark: SparkSession, docs: DataFrame) -> DataFrame:
