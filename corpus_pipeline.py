@@ -33,15 +33,18 @@ def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest id; null ids come last."""
-    docs = docs.select(*COLUMNS)
-    last = F.lit(2**63 - 1)
-    found = ngram_jaccard.components(spark, docs.select("doc_id", "text"))
-    others = found.select(F.coalesce("doc_id", last).alias("_key"), F.coalesce("component_id", last).alias("_first")).filter("_first < _key").select("_key").distinct()
-    others = keep(spark, others, "near-copies")
+    """One row of each group of near duplicates stays: one with the smallest id; null ids come last."""
+    # Ids can be null or repeated, so rows are told apart by a key that is written once.
+    docs = keep(spark, docs.select(*COLUMNS).withColumn("_key", F.monotonically_increasing_id()), "keyed")
+    found = keep(spark, ngram_jaccard.components(spark, docs.select(F.col("_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_group")), "near-copies")
+    place = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("id"), "_key")
+    shared = found.groupBy("_group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_group")
+    grouped = found.join(shared, "_group", "left_semi").join(docs.select("doc_id", "_key"), "_key")
+    first = grouped.groupBy("_group").agg(F.min(place)["_key"].alias("_first"))
+    others = keep(spark, grouped.join(first, "_group").filter("_key <> _first").select("_key"), "others")
     if count_upto(others, ngram_jaccard.MAX_BROADCAST_IDS) <= ngram_jaccard.MAX_BROADCAST_IDS:
         others = F.broadcast(others)
-    return docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), last)).join(others, "_key", "left_anti").select(*COLUMNS)
+    return docs.join(others, "_key", "left_anti").select(*COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,3 +29,14 @@ def test_stages_take_effect_and_keep_clean_documents(spark, tmp_path):
     assert left["near duplicates"] == base | {203}
     assert left["decontamination"] == left["tokens"] == base
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()} == base
+
+
+def test_near_duplicates_go_by_row(spark):
+    rng = random.Random(14)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 9))) for _ in range(500)]
+    a, b, c, d, e = (" ".join(rng.choice(words) for _ in range(80)) for _ in range(5))
+    near = f"{a} changed"
+    rows = [(1, a), (None, near), (None, b), (None, b), (2, c), (3, d), (3, f"{c} changed"), (4, e), (4, e), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = sorted(((r.doc_id or 0, r.text or "") for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()))
+    assert left == sorted([(1, a), (0, b), (2, c), (3, d), (4, e), (0, ""), (0, "")])
