@@ -4,22 +4,26 @@ A document's set are its distinct shingles of ``SHINGLE`` words; two documents l
 100 * intersection >= ``PERCENT`` * union. The join finds the components of all links:
 
 1. Documents with equal sets form one class; one set stands for it.
-2. A set of n shingles that links with another shares one of its first n - ceil(0.8 n) + 1
-   shingles in any fixed order. Spark counts a sketch of all shingles, so that the order can
-   put the frequent ones last; the sketch has a fixed number of cells.
-3. Classes that share such a shingle are partitioned into groups of similar ones: every class
-   is compared with one leader among those it shares shingles with, in a few rounds, and what
-   truly links is merged. A group is connected, so nothing within it needs comparing again.
-4. For each shingle that still stands in two groups, the classes of the smaller group query the
-   others. Each group has the union of its members' shingles, hashed to 2**``COLUMN_BITS``
-   columns (its row of the token-group matrix, of bounded size); a query overlaps no member in
-   more shingles than it has in those columns, so a group whose overlap stays below
-   ceil(0.8 n) is never opened. The others are opened, and the query is compared, by the whole
-   sets, with their members that share the shingle.
-
-Step 3 only saves work: step 4 looks at every pair of groups that share a shingle of step 2.
-No step puts out the pairs of a group. Hot shingles go by aggregation and joins that Spark
-splits; the others, whose number of classes the sketch bounds, by one exchange and a window.
+2. Shingles are ordered by their hashes. Two sets that link share at least ``extra(m)`` of the
+   first n - needed(n) + extra(n) shingles of each, m the size of the smaller. Spark counts these
+   first shingles; a class that shares too few of its own with any others goes.
+3. Of the classes that are left, all shingles are counted. Those that only one class has cannot
+   be common, so a class with fewer than needed(n) others goes. This leaves little beside the
+   near copies. The rare shingles come first in the order from here on.
+4. Similar classes are partitioned into groups: each elects, by a sample of its shingles, the
+   class that stands first among those it shares them with, and joins it if their similarity is
+   ``SIMILAR`` at least. A group are the classes that are joined so.
+5. Each group has the union of its members' shingles, hashed to 2**``COLUMN_BITS`` columns (its
+   row of the token-group matrix, of bounded size). Where two groups have one of the first
+   n - needed(n) + 1 shingles in common, the classes of the smaller group query the larger one.
+   A query overlaps no member in more shingles than it has in those columns, so a group whose
+   overlap stays below needed(n) is not opened; others are opened to the query.
+6. A group and the queries it was opened to are compared by the whole sets in one task, or, if
+   they have more than ``TILE`` shingles, cut into tiles by a hash, one task for every two tiles.
+   A task follows an inverted index and puts out a spanning forest of the links, no pairs; what
+   the group's centre links with is not compared among itself again.
+
+Steps 2 to 5 lose no link, as two sets that link share a first shingle in any fixed order.
 
 Defined cases: a text that is null or has no words has the empty set and is its own component;
 with fewer than five words the whole sequence is the one shingle; equal rows get equal results;
@@ -34,19 +38,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vidra.llm.components import connected_components
 from vidra.llm.kernels import buffers, parts, shingle_sets
-from vidra.llm.shared import count_upto, keep, ship
+from vidra.llm.shared import Kept, count_upto, ship, tidy
 
 SHINGLE, PERCENT = 5, 80
-SKETCH_BITS, COLUMN_BITS, ROUNDS = 18, 16, 3
-#: A round that finds fewer links is the last one; what is left is found group by group.
-LEAST_LINKS = 64
-#: Ids sent to every executor (a hash table of two longs each); beyond it, a shuffle.
+#: Shingles of a class that vote for its leader, and the percentage of similarity to join it.
+SAMPLE, SIMILAR = 32, 30
+COLUMN_BITS = 16
+#: Shingles of a tile.
+TILE = 1 << 19
+#: Rows sent to every executor (a hash table of a few longs each); beyond it, a shuffle.
 MAX_BROADCAST_IDS = 500_000
 #: Stands for a null id: greater than all others.
 _LAST = 2**63 - 1
@@ -57,23 +62,13 @@ def needed(n):
     return (n * PERCENT + 99) // 100
 
 
-def _sketch(spark: SparkSession, docs: DataFrame) -> np.ndarray:
-    """How many documents have a shingle in each cell."""
+def extra(n):
+    """How many of their first shingles two sets that link share, the smaller one of n."""
+    return 1 + n // 10
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << SKETCH_BITS, np.int64)
-        for whole in batches:
-            for batch in parts(whole):
-                sets = shingle_sets(*buffers(batch.column(1)), SHINGLE)
-                if sets:
-                    cells += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
-        at = np.flatnonzero(cells)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(cells[at])], ["cell", "n"])
-
-    rows = docs.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
-    out[rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
-    return out
+
+def _needed(n: str) -> Column:
+    return F.floor((F.col(n) * PERCENT + 99) / 100)
 
 
 def set_id(s: np.ndarray) -> int:
@@ -81,237 +76,244 @@ def set_id(s: np.ndarray) -> int:
     return (xxhash.xxh3_64_intdigest(s.tobytes()) | 1) - (1 << 63) if len(s) else 0
 
 
-def _signatures(spark: SparkSession, docs: DataFrame, cells) -> DataFrame:
-    """doc_id, class, size, and the first shingles: those in cells above the limit apart."""
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    off = np.zeros(len(arrays) + 1, np.int32)
+    np.cumsum([len(a) for a in arrays], out=off[1:])
+    flat = np.concatenate(arrays).view(np.int64) if arrays else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(off), pa.array(flat))
+
+
+def _signatures(docs: DataFrame) -> DataFrame:
+    """doc_id, h, class, size and the first shingles of each row of (doc_id, h, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, limit = cells.value
         for whole in batches:
-            for batch in parts(whole):
-                ids, sizes, cold, hot = [], [], [], []
-                for s in shingle_sets(*buffers(batch.column(1)), SHINGLE):
-                    n = len(s)
-                    ids.append(set_id(s))
-                    sizes.append(n)
-                    if not n:
-                        cold.append(())
-                        hot.append(())
-                        continue
-                    c = count[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                    first = np.lexsort((s, c))[: n - needed(n) + 1]
-                    s, c = s[first].view(np.int64), c[first]
-                    cold.append(s[c <= limit])
-                    hot.append(s[c > limit])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(cold, pa.list_(pa.int64())), pa.array(hot, pa.list_(pa.int64()))], ["doc_id", "class", "size", "cold", "hot"])
-
-    return docs.mapInArrow(run, "doc_id long, class long, size long, cold array<long>, hot array<long>")
-
-
-def _shared(classes: DataFrame) -> DataFrame:
-    """(token, class, size) of the first shingles that two classes or more have."""
-    cold = classes.select("class", "size", F.explode("cold").alias("token"))
-    by = W.partitionBy("token")
-    cold = cold.withColumns({"lo": F.min("class").over(by), "hi": F.max("class").over(by)}).filter("lo < hi").select("token", "class", "size")
-    hot = classes.filter(F.size("hot") > 0).select("class", "size", F.explode("hot").alias("token"))
-    multi = hot.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("token")
-    return cold.unionByName(hot.join(multi, "token").select("token", "class", "size"))
-
-
-def _can_link(a: str, b: str) -> F.Column:
-    return (F.col(a) * 100 >= F.col(b) * PERCENT) & (F.col(b) * 100 >= F.col(a) * PERCENT)
-
-
-def _picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``ids``, with the other columns of ``ids``."""
-    small = count_upto(ids, MAX_BROADCAST_IDS) <= MAX_BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if small else ids, "doc_id")
-
-
-def _sets(docs: DataFrame, wanted: DataFrame, extra: str | None = None) -> DataFrame:
-    """(class, tokens as bytes[, extra]) of the classes in ``wanted`` (doc_id, class[, extra])."""
-    fields = "class long, tokens binary" + (f", {extra} long" if extra else "")
-    names = ["class", "tokens", *([extra] if extra else [])]
+            for batch in parts(whole, 2):
+                sets = shingle_sets(*buffers(batch.column(2)), SHINGLE)
+                ids, sizes = [set_id(s) for s in sets], [len(s) for s in sets]
+                first = _lists([s[: len(s) - needed(len(s)) + extra(len(s))] if len(s) else s for s in sets])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), first], ["doc_id", "h", "class", "size", "first"])
+
+    return docs.mapInArrow(run, "doc_id long, h long, class long, size long, first array<long>")
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """``table`` to be sent to every executor, if it is small enough."""
+    return F.broadcast(table) if count_upto(table, MAX_BROADCAST_IDS) <= MAX_BROADCAST_IDS else table
+
+
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(class, size, tokens) of the rows named by ``wanted`` (doc_id, h, class)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in parts(whole):
-                want = batch.column(2).to_pylist()
+            for batch in parts(whole, 1):
                 sets = shingle_sets(*buffers(batch.column(1)), SHINGLE)
-                # Rows that repeat an id with another text are not the class that is meant.
-                same = [i for i, s in enumerate(sets) if set_id(s) == want[i]]
-                columns = [pa.array([want[i] for i in same], pa.int64()), pa.array([sets[i].tobytes() for i in same], pa.binary())]
-                if extra:
-                    columns.append(batch.column(3).take(pa.array(same, pa.int64())))
-                yield pa.RecordBatch.from_arrays(columns, names)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), _lists(sets)], ["class", "size", "tokens"])
+
+    return docs.join(_small(wanted), ["doc_id", "h"]).select("class", "text").mapInArrow(run, "class long, size long, tokens array<long>")
+
+
+def _first_round(rows: DataFrame, spark: SparkSession) -> Kept:
+    """(doc_id, h, class) of the classes that share enough of their first shingles."""
+    full = rows.filter("size > 0")
+    copies = Kept(spark, full.groupBy("class").agg(F.min(F.struct("doc_id", "h")).alias("at"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("class", "at"), "copies")
+    standing = full.join(_small(copies.df), "class", "left").filter(F.col("at").isNull() | (F.col("at") == F.struct("doc_id", "h")))
+    tokens = standing.select("class", "size", "doc_id", "h", "first")
+    each = tokens.select("class", F.explode("first").alias("token"))
+    common = each.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("token")
+    shared = each.join(common, "token", "left_semi").groupBy("class").agg(F.count(F.lit(1)).alias("shared"))
+    found = Kept(spark, shared, "shared")
+    able = standing.select("class", "size", "doc_id", "h").join(found.df, "class").filter(F.col("shared") >= 1 + F.floor(_needed("size") / 10))
+    out = Kept(spark, able.select("doc_id", "h", "class").distinct(), "candidates")
+    for x in (copies, found):
+        x.drop()
+    return out
+
 
-    return _picked(docs, wanted).select("doc_id", "text", "class", *([extra] if extra else [])).mapInArrow(run, fields)
+def _second_round(sets: DataFrame, spark: SparkSession) -> Kept:
+    """(class, size, tokens) of the classes that share enough of all their shingles; tokens are the shared ones, the rarest first."""
+    each = sets.select("class", F.explode("tokens").alias("token"))
+    common = each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    shared = each.join(common, "token").groupBy("class").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ts"))
+    able = sets.select("class", "size").distinct().join(shared, "class").filter(F.size("ts") >= _needed("size"))
+    return Kept(spark, able.select("class", "size", F.col("ts.token").alias("tokens")), "able")
 
 
-def _linked(pairs: DataFrame) -> DataFrame:
-    """(a, b) of rows (a, b, left, right) whose sets link."""
+def _overlap(s: np.ndarray, t: np.ndarray) -> int:
+    return len(np.intersect1d(s, t, assume_unique=True))
+
+
+def _similar(pairs: DataFrame) -> DataFrame:
+    """(class, leader) of rows (class, leader, size, lead_size, tokens, lead_tokens) whose similarity is ``SIMILAR`` at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                short, long = (s, t) if len(s) <= len(t) else (t, s)
-                at = np.searchsorted(long, short)
-                both = int((long[np.minimum(at, len(long) - 1)] == short).sum()) if len(long) else 0
-                good.append(100 * both >= PERCENT * (len(s) + len(t) - both))
+            for n, m, s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5)):
+                both = _overlap(s.values.to_numpy(zero_copy_only=False), t.values.to_numpy(zero_copy_only=False))
+                good.append(100 * both >= SIMILAR * (n + m - both))
             keep_ = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep_), batch.column(1).filter(keep_)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep_), batch.column(1).filter(keep_)], ["class", "leader"])
 
-    return pairs.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    return pairs.select("class", "leader", "size", "lead_size", "tokens", "lead_tokens").mapInArrow(run, "class long, leader long")
 
 
-def components(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
-    ship(spark)
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    cells = _sketch(spark, docs)
-    limit = max(4096, int(8 * cells.mean()))
-    rows = keep(spark, _signatures(spark, docs, spark.sparkContext.broadcast((cells, limit))), "signatures")
-    one = rows.filter("size > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    standing = rows.filter("size > 0").join(one, ["class", "doc_id"], "left_semi")
-    shared = keep(spark, _shared(standing).distinct(), "shared")
-    where = keep(spark, shared.select("class").distinct().join(one, "class"), "candidates")
-    links: list[DataFrame] = []
-    groups = None
-    for turn in range(ROUNDS):
-        found = _lead(spark, docs, shared, where, groups, turn)
-        if found is None or not (n := found.count()):
-            break
-        links.append(found)
-        groups = _groups(spark, links)
-        if n < LEAST_LINKS:
-            break
-    found = _open(spark, docs, shared, where, groups)
-    if found is not None and found.limit(1).count():
-        links.append(found)
-        groups = _groups(spark, links)
-    merged = rows.filter("size > 0").groupBy("class").agg(F.min("doc_id").alias("first"))
-    if groups is not None:
-        merged = merged.join(groups.select(F.col("node").alias("class"), "component"), "class", "left")
-        least = merged.filter("component is not null").groupBy("component").agg(F.min("first").alias("least"))
-        merged = merged.join(least, "component", "left").select("class", F.coalesce("least", "first").alias("component_id"))
-    else:
-        merged = merged.select("class", F.col("first").alias("component_id"))
-    out = rows.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("class")).alias("class")).join(merged, "class", "left")
-    known = lambda c: F.nullif(c, F.lit(_LAST))
-    return out.select(known(F.col("doc_id")).alias("doc_id"), "n_shingles", known(F.coalesce("component_id", "doc_id")).alias("component_id"))
-
-
-def _groups(spark: SparkSession, links: list[DataFrame]) -> DataFrame:
-    every = links[0]
-    for x in links[1:]:
-        every = every.unionByName(x)
-    return keep(spark, connected_components(spark, every), "groups")
-
-
-def _grouped(shared: DataFrame, groups: DataFrame | None) -> DataFrame:
-    """``shared`` with the group of each class, of the tokens that stand in two groups or more."""
-    if groups is None:
-        return shared.withColumn("group", F.col("class"))
-    own = shared.join(groups.select(F.col("node").alias("class"), "component"), "class", "left").select("token", "class", "size", F.coalesce("component", "class").alias("group"))
-    open_ = own.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi").select("token")
-    return own.join(open_, "token")
-
-
-def _lead(spark: SparkSession, docs: DataFrame, shared: DataFrame, where: DataFrame, groups: DataFrame | None, turn: int) -> DataFrame | None:
-    """Links of classes with one leader each: of the leaders of its tokens, the one that it shares most of them with."""
-    own = _grouped(shared, groups)
-    order = F.xxhash64("class", F.lit(turn))
-    own = own.withColumn("band", F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100 / PERCENT))))
-    lead = own.groupBy("token", "band").agg(F.min(F.struct(order.alias("o"), F.col("class"), F.col("size"), F.col("group"))).alias("lead"))
-    pairs = own.join(lead, ["token", "band"]).filter((F.col("lead.group") != F.col("group"))).select("class", F.col("lead.class").alias("leader"), "size", F.col("lead.size").alias("lead_size"))
-    pairs = pairs.filter(_can_link("size", "lead_size")).groupBy("class", "leader").agg(F.count(F.lit(1)).alias("n"))
-    found = pairs.groupBy("class").agg(F.max(F.struct("n", "leader")).alias("best")).select("class", F.col("best.leader").alias("leader"))
-    tried = keep(spark, found.join(where, "class"), "leaders")
-    if not tried.limit(1).count():
-        return None
-    # The columns, a quarter of a set's size, rule most pairs out before whole sets travel.
-    left = _columns(docs, tried.select("doc_id", "class", "leader"), "class").withColumnsRenamed({"columns": "q_columns"}).join(tried.select("class", "leader"), "class")
-    right = _columns(docs, tried.select(F.col("leader").alias("class")).distinct().join(where, "class").select("doc_id", "class"), "class").withColumnsRenamed({"class": "leader", "columns": "g_columns"})
-    able = _opened(left.join(right, "leader").select(F.col("class").alias("q"), F.col("leader").alias("group"), "q_columns", "g_columns"), both=True)
-    best = keep(spark, able.select(F.col("q").alias("class"), F.col("group").alias("leader")).join(where, "class"), "able")
-    left = _sets(docs, best.select("doc_id", "class", "leader"), "leader")
-    right = _sets(docs, best.select(F.col("leader").alias("class")).distinct().join(where, "class").select("doc_id", "class"))
-    both = left.select(F.col("class").alias("a"), F.col("leader").alias("b"), F.col("tokens").alias("left")).join(right.select(F.col("class").alias("b"), F.col("tokens").alias("right")), "b")
-    return keep(spark, _linked(both), "links")
-
-
-def _open(spark: SparkSession, docs: DataFrame, shared: DataFrame, where: DataFrame, groups: DataFrame | None) -> DataFrame | None:
-    """Links between different groups: the smaller one's classes query the larger ones that the matrix does not rule out."""
-    own = _grouped(shared, groups)
-    if groups is not None:
-        sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("members")).select(F.col("component").alias("group"), "members")
-        own = own.join(sizes, "group", "left")
-    held = keep(spark, own.withColumn("members", F.coalesce("members", F.lit(1)) if groups is not None else F.lit(1)), "open")
-    if not held.limit(1).count():
-        return None
-    # Per token, groups and not classes meet: a group of any size is one row.
-    at = held.groupBy("token", "group").agg(F.first("members").alias("members"), F.min("size").alias("least"), F.max("size").alias("most"))
-    queries = held.select("token", F.col("class").alias("q"), F.col("size").alias("q_size"), F.col("group").alias("q_group"), F.col("members").alias("q_members"))
-    fits = (F.col("q_size") * 100 >= F.col("least") * PERCENT) & (F.col("most") * 100 >= F.col("q_size") * PERCENT)
-    met = queries.join(at, "token").filter((F.struct("q_members", "q_group") < F.struct("members", "group")) & fits)
-    met = keep(spark, met.select("token", "q", "q_size", "group", "members"), "queries")
-    asked = met.select("q", "group", "members").distinct()
-    matrix = _matrix(spark, docs, asked, where, groups)
-    wanted = asked.select(F.col("q").alias("class")).distinct().join(where, "class").select("doc_id", "class")
-    columns = _columns(docs, wanted, "class").withColumnsRenamed({"class": "q", "columns": "q_columns"})
-    opened = keep(spark, _opened(asked.join(columns, "q").join(matrix, "group")), "opened")
-    pairs = met.join(opened, ["q", "group"], "left_semi").select("token", "q", "q_size", "group").join(held.select("token", "group", F.col("class").alias("b"), "size"), ["token", "group"])
-    pairs = keep(spark, pairs.filter(_can_link("q_size", "size")).select(F.col("q").alias("a"), "b").distinct(), "pairs")
-    if not pairs.limit(1).count():
-        return None
-    involved = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct().join(where, "class").select("doc_id", "class")
-    sets = keep(spark, _sets(docs, keep(spark, involved, "involved")), "sets")
-    both = pairs.join(sets.select(F.col("class").alias("a"), F.col("tokens").alias("left")), "a").join(sets.select(F.col("class").alias("b"), F.col("tokens").alias("right")), "b")
-    return keep(spark, _linked(both), "links")
-
-
-def _columns(docs: DataFrame, wanted: DataFrame, by: str) -> DataFrame:
-    """(by, columns): for each class in ``wanted`` (doc_id, class[, by]) the matrix column of each of its shingles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in parts(whole):
-                want = batch.column(2).to_pylist()
-                sets = shingle_sets(*buffers(batch.column(1)), SHINGLE)
-                same = [i for i, s in enumerate(sets) if set_id(s) == want[i]]
-                columns = [(sets[i] >> np.uint64(64 - COLUMN_BITS)).astype(np.uint16).view(np.int16) for i in same]
-                yield pa.RecordBatch.from_arrays([batch.column(3).take(pa.array(same, pa.int64())), pa.array(columns, pa.list_(pa.int16()))], [by, "columns"])
-
-    return _picked(docs, wanted).select("doc_id", "text", "class", F.col(by).alias("key")).mapInArrow(run, f"`{by}` long, columns array<smallint>")
+def _groups(able: DataFrame, spark: SparkSession) -> Kept:
+    """``able`` with the group of each class."""
+    sample = able.select("class", F.explode(F.slice(F.array_sort("tokens"), 1, SAMPLE)).alias("token"))
+    lead = sample.groupBy("token").agg(F.min(F.struct(F.xxhash64("class").alias("o"), F.col("class").alias("leader")))["leader"].alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("token", "leader")
+    votes = sample.join(lead, "token").filter("leader <> class").groupBy("class", "leader").agg(F.count(F.lit(1)).alias("n"))
+    chosen = votes.groupBy("class").agg(F.max(F.struct("n", "leader"))["leader"].alias("leader"))
+    pairs = chosen.join(able, "class").join(able.select(F.col("class").alias("leader"), F.col("size").alias("lead_size"), F.col("tokens").alias("lead_tokens")), "leader")
+    joined = connected_components(spark, _similar(pairs), "class", "leader")
+    return Kept(spark, able.join(joined.withColumnsRenamed({"node": "class", "component": "group"}), "class", "left").withColumn("group", F.coalesce("group", "class")), "groups")
 
 
-def _matrix(spark: SparkSession, docs: DataFrame, asked: DataFrame, where: DataFrame, groups: DataFrame | None) -> DataFrame:
-    """(group, g_columns) of the groups that are asked for: the union of their members' columns, 2**COLUMN_BITS at most."""
-    single = asked.filter("members = 1").select(F.col("group").alias("class")).distinct().join(where, "class").select("doc_id", "class")
-    out = _columns(docs, single, "class").select(F.col("class").alias("group"), F.col("columns").alias("g_columns"))
-    if groups is None:
-        return out
-    wide = asked.filter("members > 1").select("group").distinct()
-    member = groups.select(F.col("node").alias("class"), F.col("component").alias("group")).join(wide, "group", "left_semi").join(where, "class").select("doc_id", "class", "group")
-    cells = _columns(docs, keep(spark, member, "members"), "group").select("group", F.explode("columns").alias("c")).distinct()
-    return out.unionByName(cells.groupBy("group").agg(F.collect_list("c").alias("g_columns")))
+def _column(tokens: str) -> Column:
+    return F.transform(tokens, lambda t: F.shiftrightunsigned(t, 64 - COLUMN_BITS).cast("int"))
 
 
-def _opened(rows: DataFrame, both: bool = False) -> DataFrame:
-    """(q, group) where the group's union leaves room for enough of the query's shingles; ``both``: and the query for enough of the other's."""
+def _opened(grouped: DataFrame, spark: SparkSession) -> tuple[Kept, list[Kept]]:
+    """(q, group): the classes that query a group whose union leaves room for enough of their shingles."""
+    first = grouped.select("class", "size", "group", F.explode(F.slice("tokens", 1, (F.size("tokens") - _needed("size") + 1).cast("int"))).alias("token"))
+    open_ = first.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi").select("token")
+    members = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("members"))
+    held = Kept(spark, first.join(open_, "token", "left_semi").join(members, "group"), "met")
+    # Per token, groups and not classes meet: a group of any size is one row.
+    at = held.df.groupBy("token", "group").agg(F.first("members").alias("members"), F.min("size").alias("least"), F.max("size").alias("most"))
+    asking = held.df.select("token", F.col("class").alias("q"), F.col("size").alias("q_size"), F.col("group").alias("q_group"), F.col("members").alias("q_members"))
+    fits = (F.col("q_size") * 100 >= F.col("least") * PERCENT) & (F.col("most") * 100 >= F.col("q_size") * PERCENT)
+    asked = Kept(spark, asking.join(at, "token").filter((F.struct("q_members", "q_group") < F.struct("members", "group")) & fits).select("q", "group").distinct(), "asked")
+    cells = grouped.join(asked.df.select("group").distinct(), "group", "left_semi").select("group", F.explode(F.array_distinct(_column("tokens"))).alias("c")).distinct()
+    matrix = cells.groupBy("group").agg(F.collect_list("c").alias("g_columns"))
+    asking = grouped.select(F.col("class").alias("q"), _needed("size").alias("least"), _column("tokens").alias("q_columns"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inside = np.zeros(1 << COLUMN_BITS, bool)
         for batch in batches:
             good = []
-            for q, g in zip(batch.column(2), batch.column(3)):
-                g = g.values.to_numpy(zero_copy_only=False).view(np.uint16)
-                q = q.values.to_numpy(zero_copy_only=False).view(np.uint16)
+            for least, q, g in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4)):
+                g, q = g.values.to_numpy(zero_copy_only=False), q.values.to_numpy(zero_copy_only=False)
                 inside[g] = True
-                shared = int(inside[q].sum())
-                good.append(shared >= needed(len(q)) and (not both or 100 * shared >= PERCENT * (len(q) + len(g) - shared)))
+                good.append(int(inside[q].sum()) >= least)
                 inside[g] = False
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], ["q", "group"])
 
-    return rows.select("q", "group", "q_columns", "g_columns").mapInArrow(run, "q long, `group` long")
+    rows = asked.df.join(asking, "q").join(matrix, "group").select("q", "group", "least", "q_columns", "g_columns")
+    return Kept(spark, rows.mapInArrow(run, "q long, `group` long"), "opened"), [held, asked]
+
+
+def forest(sizes: np.ndarray, flat: np.ndarray, off: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the links among sets; set i are the tokens flat[off[i]:off[i + 1]] and others that no set shares, sizes[i] in all."""
+    m = len(sizes)
+    up = list(range(m))
+    out: list[tuple[int, int]] = []
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    _, token = np.unique(flat, return_inverse=True)
+    order = np.argsort(token, kind="stable")
+    holders = np.repeat(np.arange(m), np.diff(off))[order]
+    at = np.searchsorted(token[order], np.arange(int(token.max(initial=-1)) + 2))
+    held = np.diff(at)
+
+    def links(i: int) -> np.ndarray:
+        mine = token[off[i] : off[i + 1]]
+        mine = mine[held[mine] > 1]
+        if not len(mine):
+            return mine
+        both = np.bincount(np.concatenate([holders[at[k] : at[k + 1]] for k in mine.tolist()]), minlength=m)
+        return np.flatnonzero(100 * both >= PERCENT * (sizes[i] + sizes - both))
+
+    def merge(i: int) -> None:
+        for j in links(i).tolist():
+            a, b = root(i), root(j)
+            if a != b:
+                up[a] = b
+                out.append((i, j))
+
+    # The centre: the set whose tokens most others have.
+    weight = np.zeros(m, np.int64)
+    np.add.at(weight, np.repeat(np.arange(m), np.diff(off)), held[token])
+    centre = int(weight.argmax()) if m else 0
+    if m > 1:
+        merge(centre)
+    around = [root(i) == root(centre) for i in range(m)]
+    for i in range(m):
+        if not around[i]:
+            merge(i)
+    return out
+
+
+def _links(grouped: DataFrame, opened: DataFrame) -> DataFrame:
+    """(a, b): a spanning forest of the links within each group and with the queries that it was opened to."""
+    asking = opened.join(grouped.select(F.col("class").alias("q"), "size", "tokens"), "q").select("group", F.col("q").alias("class"), "size", "tokens")
+    present = grouped.select("group", "class", "size", "tokens").unionByName(asking)
+    weight = present.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("tokens")).alias("w")).filter("n > 1")
+    tiles = F.ceil(F.col("w") / TILE)
+    placed = present.join(weight.select("group", tiles.alias("tiles")), "group").withColumn("tile", F.pmod(F.xxhash64("class"), F.col("tiles")))
+    pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    pairs = pairs.select("group", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "class", "size", "tokens")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(held: list) -> pa.RecordBatch:
+            classes = np.concatenate([x[1] for x in held])
+            flat = np.concatenate([x[3] for x in held])
+            off = np.concatenate([[0], np.cumsum(np.concatenate([x[4] for x in held]))])
+            found = forest(np.concatenate([x[2] for x in held]), flat, off)
+            return pa.RecordBatch.from_arrays([pa.array(classes[[a for a, _ in found]], pa.int64()), pa.array(classes[[b for _, b in found]], pa.int64())], ["a", "b"])
+
+        held: list = []
+        for batch in batches:
+            keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)], axis=1)
+            classes, sizes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 4))
+            off = batch.column(5).offsets.to_numpy()
+            flat = batch.column(5).values.to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                key = tuple(keys[a].tolist())
+                if held and held[0][0] != key:
+                    yield done(held)
+                    held = []
+                held.append((key, classes[a:b], sizes[a:b], flat[off[a] : off[b]].copy(), np.diff(off[a : b + 1])))
+        if held:
+            yield done(held)
+
+    return pairs.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(run, "a long, b long")
+
+
+def components(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row."""
+    ship(spark)
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    signatures = Kept(spark, _signatures(docs), "signatures")
+    candidates = _first_round(signatures.df, spark)
+    rows = Kept(spark, signatures.df.select("doc_id", "class", "size"), "classes")
+    signatures.drop()
+    tidy(spark)
+    sets = Kept(spark, _sets(docs, candidates.df), "sets")
+    able = _second_round(sets.df, spark)
+    sets.drop()
+    tidy(spark)
+    grouped = _groups(able.df, spark)
+    opened, more = _opened(grouped.df, spark)
+    links = Kept(spark, _links(grouped.df, opened.df), "links")
+    for x in (candidates, able, grouped, opened, *more):
+        x.drop()
+    tidy(spark)
+    found = connected_components(spark, links.df)
+    merged = rows.df.filter("size > 0").join(_small(found), F.col("class") == F.col("node")).groupBy("component").agg(F.min("doc_id").alias("least"))
+    merged = Kept(spark, found.join(merged, "component").select(F.col("node").alias("class"), "least"), "merged")
+    alone = rows.df.filter("size > 0").groupBy("class").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("class", "first")
+    leads = Kept(spark, alone.join(merged.df, "class", "full").select("class", F.coalesce("least", "first").alias("component_id")), "leads")
+    out = rows.df.join(_small(leads.df), "class", "left")
+    known = lambda c: F.nullif(c, F.lit(_LAST))
+    return out.select(known(F.col("doc_id")).alias("doc_id"), F.col("size").alias("n_shingles"), known(F.coalesce("component_id", "doc_id")).alias("component_id"))

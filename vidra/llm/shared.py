@@ -8,6 +8,7 @@ recomputation of the whole lineage.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -71,6 +72,12 @@ def keep(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return Kept(spark, df, name).df
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of queries that are done with: it waits for the driver's garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_only(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and text (and ``more``) of a table that may have any other columns."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
