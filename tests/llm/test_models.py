@@ -90,7 +90,8 @@ def test_perplexity_against_dictionaries(spark):
     rng = random.Random(4)
     texts = [prose(rng, rng.choice(["aa", "bb"]), rng.randrange(1, 60)) for _ in range(40)] + [None, "", "é😀"]
     docs = spark.createDataFrame([(i, t, "aa") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
-    model = perplexity.fit(spark, docs)
+    fitted = perplexity.fit(spark, docs)
+    model = fitted.load()
     p = brute_model([(t or "").encode() for t in texts], perplexity.ORDER)
     data, off = buffers(pa.array([t or "" for t in texts]))
     for t, got in zip(texts, perplexity.log_perplexity(model, data, off)):
@@ -98,6 +99,13 @@ def test_perplexity_against_dictionaries(spark):
         padded = b"\0" * (perplexity.ORDER - 1) + raw
         want = [-math.log2(p(padded[i : i + perplexity.ORDER])) for i in range(len(raw))]
         assert math.isclose(got, sum(want) / len(want) if want else 0, rel_tol=1e-3, abs_tol=1e-3)
+    # Shards of any size add up to the same, also in the passes over a table.
+    ranges = fitted.shards(40)
+    assert len(ranges) > 3
+    whole, parts = perplexity.log_perplexity(model, data, off), sum(perplexity.log_perplexity(fitted.load(*r), data, off) for r in ranges)
+    assert np.allclose(whole, parts, atol=1e-6)
+    once, often = ({r.doc_id: r for r in perplexity.verdicts(spark, docs, most).collect()} for most in (perplexity.MAX_GRAMS, 200))
+    assert all(math.isclose(r.perplexity, often[i].perplexity, rel_tol=1e-6) and r[:8] == often[i][:8] for i, r in once.items())
 
 
 def test_base_statistics_and_verdicts(spark):
