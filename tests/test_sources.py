@@ -1,3 +1,5 @@
+import io
+import json
 import tarfile
 
 import pytest
@@ -38,7 +40,12 @@ def test_corpora(spark, tmp_path):
     assert [r.line for r in readers.corpus(spark, path).collect()] == ["Здраво свете", "да"]
     with tarfile.open(tmp_path / "c.tar.gz", "w:gz") as t:
         t.add(path, "c.vert")
-    assert readers.corpus(spark, str(tmp_path / "c.tar.gz")).count() == 2
+    assert [tuple(r) for r in readers.corpus(spark, str(tmp_path / "c.tar.gz")).collect()] == [("Здраво свете", "c.tar.gz"), ("да", "c.tar.gz")]
+    with pytest.raises(Exception, match="missing corpus"):
+        readers.corpus(spark, str(tmp_path / "none.tar.gz")).collect()
+    long = '<text id="1">\nпред\tx\n' + "".join(f'<p id="{i}"{" lang=" + chr(34) + lang + chr(34) if lang else ""}>\n<s>\nзбор{i}\tx\ty\n<g/>\n.\tx\n</s>\n<s>\nдва\tx\n</s>\nбез\tx\n</p>\n' for i, lang in enumerate(["mk", "sr", None] * 50)) + "</text>\n"
+    want = [x for i in range(150) if i % 3 != 1 for x in (f"збор{i} .", "два")]
+    assert [r.line for r in readers.corpus(spark, put(tmp_path / "l.vert", long)).collect()] == want
     xml = "<mediawiki><page><ns>0</ns><revision><text>еден {{знаме|а}}\nдва</text></revision></page><page><ns>1</ns><revision><text>три</text></revision></page></mediawiki>"
     assert [r.line for r in readers.corpus(spark, put(tmp_path / "d.xml", xml)).collect()] == ["еден {{знаме|а}}", "два"]
     lines = spark.createDataFrame([("новзбор НОВ книга новзбор-друг abв новзбор", "b", 2), ("новзбор ъ", "b", 3), ("'''Скопје'''то новзбор", "a", 1)], "line string, source string, place long")
@@ -57,6 +64,8 @@ def test_paradigms(spark, tmp_path):
     got = sorted((r.surface, r.lemma, tuple(r.tags)) for r in rows.collect())
     assert got == [("книга", "книга", ("n", "ind")), ("книгата", "книга", ("n", "def")), ("на пат", "на пат", ())]
     assert sorted(r.form for r in etl.single_words(rows).collect()) == ["книга", "книгата"]
+    solved = etl.solve({"a": [["b", ("x", "y", ("1",))], ["a"], []], "b": [[("p", "q", ()), ("r", "r", ("2",))], ["c"]], "c": [["d", ("s", "s", ())]], "d": [["c"], [("t", "t", ())]]})
+    assert solved["a"] == [("prx", "qry", ("2", "1")), ("", "", ())] and solved["b"] == [("pr", "qr", ("2",))] and solved["c"] == [] and solved["d"] == [("t", "t", ())]
 
 
 def test_dictionary(spark, tmp_path):
@@ -89,6 +98,17 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.run(spark, ["check", str(tmp_path / "lex"), "книгаа", "--json"]) == 1
     with pytest.raises(ValueError):
         cli.run(spark, ["check", str(tmp_path / "lex"), "  "])
+    # Files that share a surface: readings in the order of the files.
+    one, two = put(tmp_path / "1.tsv", "град\tград\tn,m,sg\n"), put(tmp_path / "2.tsv", "град\tгради\tvblex,imp\nград\tград\tn,m,sg\n")
+    assert cli.run(spark, ["build-morph", str(tmp_path / "m2"), one, two]) == 0
+    assert [x.lemma for x in tables.read(spark, "morph", str(tmp_path / "m2")).collect()[0].readings] == ["град", "гради"]
+    # JSON of several documents is one array.
+    (tmp_path / "texts").mkdir()
+    for i in range(3):
+        put(tmp_path / "texts" / f"{i}.txt", f"книга погрешно{'аб' * i} книгаа")
+    out = io.StringIO()
+    assert cli.run(spark, ["check", str(tmp_path / "lex"), "--file", str(tmp_path / "texts"), "--json"], out) == 1
+    assert sorted(d["text"] for d in json.loads(out.getvalue())) == ["книгаа"] * 3 + ["погрешно", "погрешноаб", "погрешноабаб"]
 
 
 def test_stream(spark, tmp_path, small=None):

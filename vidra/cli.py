@@ -54,8 +54,8 @@ def run(spark: SparkSession, argv: list[str], out=sys.stdout) -> int:
         more = {t: tables.read(spark, t, getattr(a, t)) for t in ("morph", "freq", "bigram") if getattr(a, t)}
         found = Checker(tables.read(spark, "lexicon", a.lexicon), **more).check(docs).cache()
         if a.json:
-            rows = tables.as_json(found).collect()
-            print(rows[0]["json"] if rows else "[]", file=out)
+            # One array for all documents, in their order; it is printed as it comes.
+            print("[" + ",".join(body for r in tables.as_json(found).orderBy("doc_id").toLocalIterator() if (body := r["json"][1:-1])) + "]", file=out)
         else:
             n = docs.agg(F.sum(F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")))).collect()[0][0]
             for line in tables.report(found, n):
