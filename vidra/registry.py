@@ -276,16 +276,19 @@ def _normal(x: str) -> str:
 _ISSUE = f"CASE WHEN {_FOREIGN_SQL} THEN 'ForeignCyrillic' WHEN regexp_matches(§, '{_MK}') AND {_LATIN_SQL} THEN 'Homoglyph' END"
 _ACRONYM = r"(length(§) BETWEEN 2 AND 5 AND NOT regexp_matches(regexp_replace(§, '\p{Lu}', '', 'g'), '\p{L}'))"
 _SERB = "sr(low, mk) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in fixed.SERBIAN.items()) + ")"
-# No run of Latin words is left in the transliterated text that reads as a known word.
+# Of the letters that Latin readings replace, only "a" is left in the transliterated text; others stand for themselves.
+_READING = "translate(low, 'a', 'а')"
 _SPELLED = (
-    f"w0 AS (SELECT *, lower(text) AS low, {_normal('text')} AS fixed, {_ISSUE.replace('§', 'text')} AS issue, {_LATIN_SQL.replace('§', 'text')} AND NOT regexp_matches(text, '{_CYR}') AS latin FROM t WHERE kind = 'word' AND NOT regexp_matches(text, '\\p{{N}}')), "
-    "w1 AS (SELECT w0.*, k.form IS NOT NULL AS known, k2.form IS NOT NULL AS fixed_known, sr.mk FROM w0 LEFT JOIN k ON k.form = low LEFT JOIN k k2 ON k2.form = lower(fixed) LEFT JOIN sr ON sr.low = w0.low), "
+    f"wl AS (SELECT *, {_LATIN_SQL.replace('§', 'text')} AND NOT regexp_matches(text, '{_CYR}') AS latin FROM t WHERE kind = 'word'), "
+    "wr AS (SELECT *, latin AND (coalesce(lag(latin) OVER o, false) OR coalesce(lead(latin) OVER o, false)) AS in_run FROM wl WINDOW o AS (PARTITION BY doc_id ORDER BY idx)), "
+    f"w0 AS (SELECT *, lower(text) AS low, {_normal('text')} AS fixed, {_ISSUE.replace('§', 'text')} AS issue FROM wr WHERE NOT regexp_matches(text, '\\p{{N}}')), "
+    f"w1 AS (SELECT w0.*, k.form IS NOT NULL AS known, k2.form IS NOT NULL AS fixed_known, sr.mk, k3.form AS reading FROM w0 LEFT JOIN k ON k.form = w0.low LEFT JOIN k k2 ON k2.form = lower(fixed) LEFT JOIN k k3 ON latin AND k3.form = {_READING.replace('low', 'w0.low')} LEFT JOIN sr ON sr.low = w0.low), "
     "cp AS (SELECT text, unnest(string_split(low, '-')) AS p FROM (SELECT DISTINCT text, low FROM w0 WHERE contains(text, '-'))), cw AS (SELECT text FROM cp LEFT JOIN k ON k.form = p GROUP BY 1 HAVING bool_and(p <> '' AND k.form IS NOT NULL)), "
-    f"w2 AS (SELECT *, CASE WHEN issue = 'ForeignCyrillic' THEN 'MK_FOREIGN_CYRILLIC' WHEN issue = 'Homoglyph' THEN 'MK_HOMOGLYPH' WHEN latin THEN NULL WHEN mk IS NOT NULL AND NOT (known AND regexp_matches(text, '^\\p{{Lu}}')) THEN 'MK_SERBIANISM' "
+    f"w2 AS (SELECT *, CASE WHEN issue = 'ForeignCyrillic' THEN 'MK_FOREIGN_CYRILLIC' WHEN issue = 'Homoglyph' THEN 'MK_HOMOGLYPH' WHEN latin THEN CASE WHEN in_run AND length(text) >= {fixed.MIN_LATIN} AND NOT {_ACRONYM.replace('§', 'text')} AND reading IS NOT NULL THEN 'MK_LATIN_TEXT' END WHEN mk IS NOT NULL AND NOT (known AND regexp_matches(text, '^\\p{{Lu}}')) THEN 'MK_SERBIANISM' "
     f"WHEN known OR {_ACRONYM.replace('§', 'text')} OR length(text) = 1 OR low = 'нај' THEN NULL "
     "WHEN text IN (SELECT text FROM cw) THEN NULL ELSE 'MK_SPELL' END AS rule FROM w1), "
-    "s AS (SELECT doc_id, rule, CASE WHEN issue IS NOT NULL THEN CASE WHEN fixed_known THEN 'error' ELSE 'warning' END WHEN rule = 'MK_SERBIANISM' THEN CASE WHEN known THEN 'info' ELSE 'warning' END ELSE 'error' END AS severity, "
-    "char_start, char_end, text, CASE WHEN issue IS NOT NULL THEN CASE WHEN fixed <> text THEN fixed ELSE '' END WHEN rule = 'MK_SERBIANISM' THEN CASE WHEN regexp_matches(text, '^\\p{Lu}') THEN upper(mk[1]) || mk[2:] ELSE mk END ELSE '' END AS suggestions FROM w2 WHERE rule IS NOT NULL)"
+    "s AS (SELECT doc_id, rule, CASE WHEN issue IS NOT NULL THEN CASE WHEN fixed_known THEN 'error' ELSE 'warning' END WHEN rule = 'MK_LATIN_TEXT' THEN 'warning' WHEN rule = 'MK_SERBIANISM' THEN CASE WHEN known THEN 'info' ELSE 'warning' END ELSE 'error' END AS severity, "
+    "char_start, char_end, text, CASE WHEN issue IS NOT NULL THEN CASE WHEN fixed <> text THEN fixed ELSE '' END WHEN rule = 'MK_LATIN_TEXT' THEN CASE WHEN regexp_matches(text, '^\\p{Lu}') THEN upper(reading[1]) || reading[2:] ELSE reading END WHEN rule = 'MK_SERBIANISM' THEN CASE WHEN regexp_matches(text, '^\\p{Lu}') THEN upper(mk[1]) || mk[2:] ELSE mk END ELSE '' END AS suggestions FROM w2 WHERE rule IS NOT NULL)"
 )
 _COUNTED = r"regexp_extract_all(lower(line), '[Ѐ-Џа-шѓќѕџјљњѐѝ]+')"
 _LINES = f"l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM d), ws AS (SELECT list_filter({_COUNTED}, lambda w: length(w) BETWEEN 2 AND 32) AS ws FROM l)"
