@@ -1,9 +1,10 @@
 """The grammar pass: fourteen rules over tokens and their readings.
 
-One window over each document puts the tokens before and after beside each token; every rule is
-then a column that is null or a finding, so that one pass over the tokens serves all of them.
-Findings that depend on another word's readings carry it as ``key`` and are decided after one
-more lookup, on the few rows that are left.
+What a rule asks of a word's readings is worked out once for each surface of the morphology, as
+a bit; one window over each document puts the bits and places of the tokens before and after
+beside each token. Integer tests pick the few tokens where a rule may speak; only there are the
+readings looked up and the rules, a column each, evaluated. Findings that depend on another
+word's readings carry it as ``key`` and are decided after one more lookup.
 """
 
 from __future__ import annotations
@@ -22,9 +23,9 @@ _ENDER, _DOT = r"^[.?!…]$", r"^[.…]$"
 
 
 def context(tokens: DataFrame, lexicon: DataFrame, morph: DataFrame) -> DataFrame:
-    """Token rows with readings and neighbours: t, n1 to n3 after it, p1 to p3 before it, opener (the last token before it that is no dot)."""
-    rows = L.contains(M.analyze(tokens, morph, "text"), lexicon, "text", "known")
-    token = F.struct("idx", "text", "kind", "char_start", "char_end", "byte_start", "byte_end", F.col("readings").alias("r"), "known")
+    """Token rows with feature bits and neighbours: t, n1 to n3 after it, p1 to p3 before it, opener (the last token before it that is no dot)."""
+    rows = L.contains(M.by_word(tokens, M.features(morph), "text", "bits"), lexicon, "text", "known")
+    token = F.struct("idx", "text", "kind", "char_start", "char_end", "byte_start", "byte_end", "bits", "known")
     by = W.partitionBy("doc_id").orderBy("idx")
     rows = rows.select("doc_id", "idx", token.alias("t"))
     dot = (F.col("t.kind") == "punct") & F.col("t.text").rlike(_DOT)
@@ -33,6 +34,24 @@ def context(tokens: DataFrame, lexicon: DataFrame, morph: DataFrame) -> DataFram
     return rows.withColumns(beside | {"opener": F.last(F.when(~dot | (F.col("idx") == 0), plain), ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, -1))})
 
 
+def _has(name: str, *features: str) -> Column:
+    return M.feature(F.col(f"{name}.bits"), *features)
+
+
+def may_speak() -> Column:
+    """Can some rule have a finding at the token? Tests of bits, kinds and single words."""
+    t, a = _word("t"), F.col("n1")
+    gap = _is("n1", "punct") & a["text"].isin(fixed.CLOSERS) & (a["byte_start"] != F.col("t.byte_end")) & (F.col("t.kind") != "punct")
+    start = F.col("t.known") & ((F.col("t.idx") <= 1) | (_is("p1", "punct") & F.col("p1.text").rlike(_ENDER)))
+    pair = (
+        (_has("t", "definite_adjective") & _has("n1", "definite_noun")) | (_has("t", "accusative", "all_pronoun") & _has("n1", "dative") & _has("n2", "verb")) | (_has("n1", "dative") & _has("n2", "accusative") & t.isin(fixed.SUBJECTS))
+        | (_has("t", "nominative") & _has("n1", "participle")) | (t.isin("нај", "по") & _has("n1", "read")) | (_has("t", "all_adjective", "adjective_forms") & _has("n1", "noun_forms"))
+        | _has("t", "subject") | (_has("t", "cardinal") & _has("n1", "plural")) | (_has("t", "doubling") & _has("n1", "doubled"))
+    )
+    fused = ~_has("t", "read") & t.startswith("не")
+    return gap | (_is("t") & (pair | start | fused))
+
+
 def _is(name: str, kind: str = "word") -> Column:
     return F.coalesce(F.col(f"{name}.kind") == kind, F.lit(False))
 
@@ -52,33 +71,38 @@ def _found(rule: str, when: Column, start: Column, end: Column, text: Column, su
     )
 
 
+def _following() -> Column:
+    """The token after the subject that should be its verb: clitics and не are passed over, two at most."""
+    skip = lambda n: _is(n) & ((F.col(f"{n}.text") == "не") | _has(n, "clitic"))
+    return F.when(~skip("n1"), F.col("n1")).when(~skip("n2"), F.col("n2")).otherwise(F.col("n3"))
+
+
 def findings() -> list[Column]:
-    """A column for each rule, null where it is silent, over the columns of ``context``."""
-    t, a, b, c = F.col("t"), F.col("n1"), F.col("n2"), F.col("n3")
+    """A column for each rule, null where it is silent, over the columns of ``context`` and tr, ar and vr, the readings of the token, the next one and the verb."""
+    t, a, b, tr, ar, vr = (F.col(c) for c in ("t", "n1", "n2", "tr", "ar", "vr"))
     pair, triple = _is("t") & _is("n1"), _is("t") & _is("n1") & _is("n2")
     both = F.concat_ws(" ", "t.text", "n1.text")
     three = F.concat_ws(" ", "t.text", "n1.text", "n2.text")
     span = (t["char_start"], a["char_end"])
     out = []
 
-    d1, d2 = M.definite(t["r"], "adjective"), M.definite(a["r"], "noun")
-    noun = M.first(M.of(a["r"], "noun"))
-    out.append(_found("MK_DOUBLE_DEFINITE", pair & M.compatible(d1["gender"], d2["gender"]) & (d1["number"] == d2["number"]), *span, both, None, key=noun["lemma"], extra=F.concat_ws(",", d2["gender"], d2["number"])))
+    d1, d2 = M.definite(tr, "adjective"), M.definite(ar, "noun")
+    noun = M.first(M.of(ar, "noun"))
+    out.append(_found("MK_DOUBLE_DEFINITE", pair & _has("t", "definite_adjective") & _has("n1", "definite_noun") & M.compatible(d1["gender"], d2["gender"]) & (d1["number"] == d2["number"]), *span, both, None, key=noun["lemma"], extra=F.concat_ws(",", d2["gender"], d2["number"])))
 
-    pronoun = lambda tag: lambda r: (r["pos"] == "pronoun") & M.has(r, tag)
-    order = M.some(t["r"], pronoun("acc")) & M.every(t["r"], lambda r: r["pos"] == "pronoun") & M.some(a["r"], pronoun("dat")) & M.some(b["r"], lambda r: r["pos"] == "verb")
+    order = _has("t", "accusative", "all_pronoun") & _has("n1", "dative") & _has("n2", "verb")
     out.append(_found("MK_CLITIC_ORDER", triple & order, t["char_start"], b["char_end"], three, F.array(F.concat_ws(" ", "n1.text", "t.text", "n2.text"))))
 
-    dative = _word("t").isin(fixed.SUBJECTS) & (_word("n1") == "и") & M.some(a["r"], pronoun("dat")) & M.some(b["r"], pronoun("acc"))
+    dative = _word("t").isin(fixed.SUBJECTS) & (_word("n1") == "и") & _has("n1", "dative") & _has("n2", "accusative")
     out.append(_found("MK_DATIVE_I", triple & dative, a["char_start"], a["char_end"], a["text"], F.array(F.when(X.starts_upper("n1.text"), "Ѝ").otherwise("ѝ"))))
 
     full = lambda r: r["gender"].isNotNull() & r["number"].isNotNull()
-    own = F.filter(t["r"], lambda r: F.coalesce((r["pos"] == "pronoun") & M.has(r, "nom") & full(r), F.lit(False)))
-    part = F.filter(a["r"], lambda r: F.coalesce(M.has(r, "lp") & full(r), F.lit(False)))
+    own = F.filter(tr, lambda r: F.coalesce((r["pos"] == "pronoun") & M.has(r, "nom") & full(r), F.lit(False)))
+    part = F.filter(ar, lambda r: F.coalesce(M.has(r, "lp") & full(r), F.lit(False)))
     lemma = F.when(F.size(F.array_distinct(F.transform(part, lambda r: r["lemma"]))) == 1, M.first(part)["lemma"])
-    out.append(_found("MK_L_PARTICIPLE", pair & (F.size(own) > 0) & (F.size(part) > 0) & ~M.agree(own, part), *span, both, None, key=lemma, extra=F.concat_ws(",", M.first(own)["gender"], M.first(own)["number"], t["text"])))
+    out.append(_found("MK_L_PARTICIPLE", pair & _has("t", "nominative") & _has("n1", "participle") & ~M.agree(own, part), *span, both, None, key=lemma, extra=F.concat_ws(",", M.first(own)["gender"], M.first(own)["number"], t["text"])))
 
-    fused = _word("t").startswith("не") & (F.char_length("t.text") >= 4) & (F.size("t.r") == 0)
+    fused = _word("t").startswith("не") & (F.char_length("t.text") >= 4) & ~_has("t", "read")
     for x in fixed.NE_EXCEPTED:
         fused &= ~_word("t").startswith(x)
     apart = F.concat(F.substring("t.text", 1, 2), F.lit(" "), F.expr("substring(t.text, 3)"))
@@ -89,48 +113,42 @@ def findings() -> list[Column]:
         return one, F.array(X.match_case("t.text", one))
 
     one, fix = together("нај")
-    out.append(_found("MK_NAJ_SEPARATED", pair & (_word("t") == "нај") & M.some(a["r"], lambda r: r["pos"].isin("adjective", "noun", "verb")), *span, both, fix, key=one))
+    out.append(_found("MK_NAJ_SEPARATED", pair & (_word("t") == "нај") & (_has("n1", "adjective") | _has("n1", "noun") | _has("n1", "verb")), *span, both, fix, key=one))
 
     out.append(_capital())
 
     one, fix = together("по")
-    governed = _is("p1") & M.some(F.col("p1.r"), lambda r: r["pos"] == "noun")
-    phrase = _is("n2") & M.some(b["r"], lambda r: (r["pos"] == "noun") | ((r["pos"] == "adjective") & M.is_definite(r)))
-    comparative = (_word("t") == "по") & M.some(a["r"], lambda r: r["pos"].isin("adjective", "verb")) & ~M.some(a["r"], M.is_definite) & ~phrase & ~governed
+    governed = _is("p1") & _has("p1", "noun")
+    phrase = _is("n2") & (_has("n2", "noun") | _has("n2", "definite_among_adjectives"))
+    comparative = (_word("t") == "по") & (_has("n1", "adjective") | _has("n1", "verb")) & ~_has("n1", "some_definite") & ~phrase & ~governed
     out.append(_found("MK_PO_SEPARATED", pair & comparative, *span, both, fix, key=one))
 
     emoticon = a["text"].isin(":", ";") & _is("n2", "punct") & (b["byte_start"] == a["byte_end"])
     gap = (_is("t") | _is("t", "number")) & _is("n1", "punct") & a["text"].isin(fixed.CLOSERS) & (a["byte_start"] != t["byte_end"]) & ~F.coalesce(emoticon, F.lit(False))
     out.append(_found("MK_SPACE_BEFORE_PUNCT", gap, t["char_end"], a["char_end"], F.concat(F.lit(" "), a["text"]), F.array(a["text"]), "warning"))
 
-    adj, head = M.forms(t["r"], "adjective"), M.forms(a["r"], "noun")
-    modifier = _is("n2") & M.some(b["r"], lambda r: r["pos"] == "noun")
-    out.append(_found("MK_ADJ_AGREEMENT", pair & M.every(t["r"], lambda r: r["pos"] == "adjective") & ~M.agree(adj, head) & ~modifier & ~X.starts_upper("t.text"), *span, both, None))
+    adj, head = M.forms(tr, "adjective"), M.forms(ar, "noun")
+    modifier = _is("n2") & _has("n2", "noun")
+    out.append(_found("MK_ADJ_AGREEMENT", pair & _has("t", "all_adjective", "adjective_forms") & _has("n1", "noun_forms") & ~M.agree(adj, head) & ~modifier & ~X.starts_upper("t.text"), *span, both, None))
 
-    skip = lambda n: _is(n) & ((F.col(f"{n}.text") == "не") | M.some(F.col(f"{n}.r"), lambda r: M.has(r, "clt") | M.has(r, "ref")))
-    verb = F.when(~skip("n1"), a).when(~skip("n2"), b).otherwise(c)
-    who = M.subject(t["r"])
-    finite = F.filter(verb["r"], lambda r: F.coalesce((r["pos"] == "verb") & r["person"].isNotNull() & r["number"].isNotNull(), F.lit(False)))
+    verb, who = _following(), M.subject(tr)
+    finite = F.filter(vr, lambda r: F.coalesce((r["pos"] == "verb") & r["person"].isNotNull() & r["number"].isNotNull(), F.lit(False)))
     wrong = (F.size(finite) > 0) & ~F.exists(finite, lambda r: (r["person"] == who["person"]) & (r["number"] == who["number"]))
-    out.append(_found("MK_VERB_AGREEMENT", _is("t") & who.isNotNull() & (verb["kind"] == "word") & wrong, t["char_start"], verb["char_end"], F.concat_ws(" ", t["text"], verb["text"]), None))
+    out.append(_found("MK_VERB_AGREEMENT", _is("t") & _has("t", "subject") & (verb["kind"] == "word") & wrong, t["char_start"], verb["char_end"], F.concat_ws(" ", t["text"], verb["text"]), None))
 
-    cardinal = M.every(t["r"], lambda r: (r["pos"] == "numeral") & r["number"].isNull() & ~M.has(r, "ma") & ~M.has(r, "apprx"))
-    plural = M.every(a["r"], lambda r: (r["pos"] == "noun") & (r["number"] == "pl") & ~M.is_definite(r))
-    gender = lambda g: M.every(a["r"], lambda r: r["gender"] == g)
+    counted = pair & _has("t", "cardinal") & _has("n1", "plural")
+    gender = lambda g: M.every(ar, lambda r: r["gender"] == g)
     swapped = F.when((_word("t") == "два") & gender("F"), "две").when((_word("t") == "две") & gender("M"), "два")
-    out.append(_found("MK_NUMERAL_GENDER", pair & cardinal & plural & swapped.isNotNull(), *span, both, F.array(F.concat_ws(" ", X.match_case("t.text", swapped), a["text"]))))
+    out.append(_found("MK_NUMERAL_GENDER", counted & swapped.isNotNull(), *span, both, F.array(F.concat_ws(" ", X.match_case("t.text", swapped), a["text"]))))
 
     count = F.when(_word("n1").rlike("[ое]ви$"), F.concat(F.regexp_replace(_word("n1"), "[ое]ви$", ""), F.lit("а")))
-    lemmas = F.array_join(F.transform(a["r"], lambda r: r["lemma"]), "\t")
-    out.append(_found("MK_COUNT_FORM", pair & cardinal & plural & swapped.isNull() & gender("M") & count.isNotNull(), *span, both, F.array(F.concat_ws(" ", t["text"], X.match_case("n1.text", count))), "warning", key=count, extra=lemmas))
+    lemmas = F.array_join(F.transform(ar, lambda r: r["lemma"]), "\t")
+    out.append(_found("MK_COUNT_FORM", counted & swapped.isNull() & gender("M") & count.isNotNull(), *span, both, F.array(F.concat_ws(" ", t["text"], X.match_case("n1.text", count))), "warning", key=count, extra=lemmas))
 
-    verbs = M.of(t["r"], "verb")
-    able = M.some(verbs, lambda r: M.has(r, "tv")) & M.every(verbs, lambda r: r["person"] < 3)
-    thing = M.every(a["r"], lambda r: (r["pos"] == "noun") & M.is_definite(r)) & ~M.some(a["r"], lambda r: r["lemma"].isin(fixed.TIME_NOUNS))
-    clitic = M.doubling_clitic(a["r"])
+    clitic = M.doubling_clitic(ar)
     doubled = F.when(X.starts_upper("t.text"), F.concat_ws(" ", X.capitalize_first(clitic), _word("t"), a["text"])).otherwise(F.concat_ws(" ", clitic, t["text"], a["text"]))
     clause = F.coalesce(F.col("n2.text") == "да", F.lit(False))
-    out.append(_found("MK_OBJECT_DOUBLING", pair & able & thing & clitic.isNotNull() & ~clause & ~_has_clitic(), *span, both, F.array(doubled), "warning"))
+    out.append(_found("MK_OBJECT_DOUBLING", pair & _has("t", "doubling") & _has("n1", "doubled") & ~clause & ~_has_clitic(), *span, both, F.array(doubled), "warning"))
     return out
 
 
@@ -138,10 +156,7 @@ def _has_clitic() -> Column:
     """Is there an accusative clitic before the verb, at most three words back over clitics, не, ќе and да?"""
     out = F.lit(False)
     for k in (3, 2, 1):
-        r = F.col(f"p{k}.r")
-        here = M.some(r, lambda x: M.has(x, "clt") & M.has(x, "acc"))
-        on = M.some(r, lambda x: M.has(x, "clt") | M.has(x, "ref"))
-        out = F.when(~_is(f"p{k}"), False).when(_word(f"p{k}").isin("не", "ќе", "да"), out).when(here, True).when(on, out).otherwise(False)
+        out = F.when(~_is(f"p{k}"), False).when(_word(f"p{k}").isin("не", "ќе", "да"), out).when(_has(f"p{k}", "accusative_clitic"), True).when(_has(f"p{k}", "clitic"), out).otherwise(False)
     return out
 
 
@@ -159,7 +174,10 @@ def _capital() -> Column:
 
 def check(tokens: DataFrame, lexicon: DataFrame, morph: DataFrame) -> DataFrame:
     """Diagnostics of all grammar rules."""
-    rows = context(tokens, lexicon, morph).select("doc_id", F.explode(F.filter(F.array(*findings()), lambda x: x.isNotNull())).alias("f")).select("doc_id", "f.*")
+    rows = context(tokens, lexicon, morph).filter(may_speak()).withColumns({"_t": F.col("t.text"), "_a": F.col("n1.text"), "_v": F.when(_has("t", "subject"), _following()["text"])})
+    for word, name in (("_t", "tr"), ("_a", "ar"), ("_v", "vr")):
+        rows = M.analyze(rows, morph, word, name)
+    rows = rows.select("doc_id", F.explode(F.filter(F.array(*findings()), lambda x: x.isNotNull())).alias("f")).select("doc_id", "f.*")
     rows = L.contains(M.analyze(rows, morph, "key", "kr"), lexicon, "key", "key_known")
     lp = L.lookup(M.participles(morph)).select(F.col("lemma").alias("_lemma"), "forms")
     rows = rows.join(lp, (F.col("rule") == "MK_L_PARTICIPLE") & (F.col("key") == F.col("_lemma")), "left")

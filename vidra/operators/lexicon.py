@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from weakref import WeakKeyDictionary
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,13 +11,17 @@ from pyspark.sql import functions as F
 from vidra.functions import fixed
 from vidra.functions import text as X
 
-#: Rows up to which a lookup table goes to every executor; above it Spark joins by a shuffle.
-MAX_BROADCAST = 2_000_000
+#: Rows and bytes (written as JSON) up to which a lookup table goes to every executor; above them Spark joins by a shuffle.
+MAX_BROADCAST, MAX_BROADCAST_BYTES = 2_000_000, 64 << 20
+_decided: WeakKeyDictionary[DataFrame, DataFrame] = WeakKeyDictionary()
 
 
-def lookup(table: DataFrame, most: int = MAX_BROADCAST) -> DataFrame:
-    """``table`` with a broadcast hint if it is known to be small."""
-    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+def lookup(table: DataFrame, most: int = MAX_BROADCAST, most_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """``table`` with a broadcast hint if it is measured to be small; it is measured once."""
+    if table not in _decided:
+        r = table.limit(most + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes")).collect()[0]
+        _decided[table] = F.broadcast(table) if r["n"] <= most and (r["bytes"] or 0) <= most_bytes else table
+    return _decided[table]
 
 
 def build(forms: DataFrame, column: str = "form") -> DataFrame:

@@ -40,14 +40,21 @@ def participles(morph: DataFrame) -> DataFrame:
     return rows.select("r.lemma", F.struct("surface", "readings").alias("f")).distinct().groupBy("lemma").agg(F.array_sort(F.collect_list("f"), lambda a, b: F.when(a["surface"] < b["surface"], -1).when(a["surface"] > b["surface"], 1).otherwise(0)).alias("forms"))
 
 
+def by_word(words: DataFrame, table: DataFrame, word: str, *columns: str) -> DataFrame:
+    """``words`` with ``columns`` of the table's row for a word: of the exact surface, or, only if that is absent, of the lower-cased one; else null."""
+    small = lookup(table)
+    exact = small.select(F.col("surface").alias("_s1"), F.struct(*columns).alias("_r1"))
+    lower = small.select(F.col("surface").alias("_s2"), F.struct(*columns).alias("_r2"))
+    out = words.join(exact, F.col(word) == F.col("_s1"), "left")
+    # Only what is still without a row, and is not lower case, is looked up again.
+    out = out.join(lower, F.when(F.col("_s1").isNull() & (F.lower(word) != F.col(word)), F.lower(word)) == F.col("_s2"), "left")
+    return out.select(*words.columns, *(F.coalesce(F.col("_r1")[c], F.col("_r2")[c]).alias(c) for c in columns))
+
+
 def analyze(words: DataFrame, morph: DataFrame, word: str, name: str = "readings") -> DataFrame:
-    """``words`` with the readings of a word: of the exact surface, or, only if that is absent, of the lower-cased one; empty if there are none."""
-    table = lookup(morph)
-    exact = table.select(F.col("surface").alias("_s1"), F.col("readings").alias("_r1"))
-    lower = table.select(F.col("surface").alias("_s2"), F.col("readings").alias("_r2"))
-    out = words.join(exact, F.col(word) == F.col("_s1"), "left").join(lower, F.lower(word) == F.col("_s2"), "left")
-    found = F.coalesce("_r1", "_r2", F.array().cast(morph.schema["readings"].dataType))
-    return out.withColumn(name, found).drop("_s1", "_s2", "_r1", "_r2")
+    """``words`` with the readings of a word, as ``by_word`` finds them; empty if there are none."""
+    found = by_word(words, morph, word, "readings")
+    return found.withColumn("readings", F.coalesce("readings", F.array().cast(morph.schema["readings"].dataType))).withColumnRenamed("readings", name)
 
 
 def summary(morph: DataFrame) -> DataFrame:
@@ -125,3 +132,57 @@ def doubling_clitic(readings: Column) -> Column:
     )
     kinds = F.array_distinct(each)
     return F.when(F.size(kinds) == 1, first(kinds))
+
+
+def doubling_thing(readings: Column) -> Column:
+    """A definite noun that is not a time, whose readings ask for one clitic."""
+    thing = every(readings, lambda r: (r["pos"] == "noun") & is_definite(r)) & ~some(readings, lambda r: r["lemma"].isin(fixed.TIME_NOUNS))
+    return thing & doubling_clitic(readings).isNotNull()
+
+
+def cardinal(readings: Column) -> Column:
+    return every(readings, lambda r: (r["pos"] == "numeral") & r["number"].isNull() & ~has(r, "ma") & ~has(r, "apprx"))
+
+
+def plural(readings: Column) -> Column:
+    return every(readings, lambda r: (r["pos"] == "noun") & (r["number"] == "pl") & ~is_definite(r))
+
+
+def _pronoun(tag: str):
+    return lambda r: (r["pos"] == "pronoun") & has(r, tag)
+
+
+def _full(r: Column) -> Column:
+    return r["gender"].isNotNull() & r["number"].isNotNull()
+
+
+def _able(readings: Column) -> Column:
+    verbs = of(readings, "verb")
+    return some(verbs, lambda r: has(r, "tv")) & every(verbs, lambda r: r["person"] < 3)
+
+
+#: What the grammar rules ask of a word's readings, a bit each.
+FEATURES = {
+    "read": lambda rs: F.size(rs) > 0, "definite_adjective": lambda rs: definite(rs, "adjective").isNotNull(), "definite_noun": lambda rs: definite(rs, "noun").isNotNull(),
+    "accusative": lambda rs: some(rs, _pronoun("acc")), "dative": lambda rs: some(rs, _pronoun("dat")), "all_pronoun": lambda rs: every(rs, lambda r: r["pos"] == "pronoun"),
+    "verb": lambda rs: some(rs, lambda r: r["pos"] == "verb"), "noun": lambda rs: some(rs, lambda r: r["pos"] == "noun"), "adjective": lambda rs: some(rs, lambda r: r["pos"] == "adjective"),
+    "some_definite": lambda rs: some(rs, is_definite), "definite_among_adjectives": lambda rs: some(rs, lambda r: (r["pos"] == "adjective") & is_definite(r)),
+    "nominative": lambda rs: some(rs, lambda r: _pronoun("nom")(r) & _full(r)), "participle": lambda rs: some(rs, lambda r: has(r, "lp") & _full(r)),
+    "all_adjective": lambda rs: every(rs, lambda r: r["pos"] == "adjective"), "adjective_forms": lambda rs: forms(rs, "adjective").isNotNull(), "noun_forms": lambda rs: forms(rs, "noun").isNotNull(),
+    "subject": lambda rs: subject(rs).isNotNull(), "clitic": lambda rs: some(rs, lambda r: has(r, "clt") | has(r, "ref")), "accusative_clitic": lambda rs: some(rs, lambda r: has(r, "clt") & has(r, "acc")),
+    "cardinal": cardinal, "plural": plural, "doubling": _able, "doubled": doubling_thing,
+}
+
+
+def features(morph: DataFrame) -> DataFrame:
+    """(surface, bits) of a morphology table."""
+    bits = F.lit(0).cast("long")
+    for i, test in enumerate(FEATURES.values()):
+        bits = bits + F.when(F.coalesce(test(F.col("readings")), F.lit(False)), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
+    return morph.select("surface", bits.alias("bits"))
+
+
+def feature(bits: Column, *names: str) -> Column:
+    """Are all these bits set? None is, of a word without readings."""
+    mask = sum(1 << list(FEATURES).index(n) for n in names)
+    return F.coalesce(bits, F.lit(0).cast("long")).bitwiseAND(F.lit(mask).cast("long")) == mask

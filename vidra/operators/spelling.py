@@ -4,26 +4,20 @@ from __future__ import annotations
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vidra.functions import fixed
 from vidra.functions import text as X
 from vidra.operators import lexicon as L
+from vidra.operators.tokens import words_beside
 
 
-def neighbours(tokens: DataFrame) -> DataFrame:
-    """Word tokens with the words before and after them, lower case, and whether they stand in a run of Latin words."""
-    by = W.partitionBy("doc_id").orderBy("idx")
-    words = tokens.filter("kind = 'word'").withColumn("latin", X.is_all_latin("text"))
-    beside = F.coalesce(F.lag("latin").over(by), F.lit(False)) | F.coalesce(F.lead("latin").over(by), F.lit(False))
-    return words.withColumns({"prev": F.lower(F.lag("text").over(by)), "next": F.lower(F.lead("text").over(by)), "in_run": F.col("latin") & beside})
-
-
-def check(tokens: DataFrame, lexicon: DataFrame, freq: DataFrame | None = None, bigram: DataFrame | None = None, suggestions: bool = True) -> DataFrame:
-    """Diagnostics (doc_id, rule, rule_order, severity, char_start, char_end, text, message, suggestions) of word tokens."""
-    rows = neighbours(tokens).filter(~X.has_digit("text"))
-    rows = rows.withColumns({"issue": X.script_issue("text"), "fixed": X.normalize("text"), "low": F.lower("text")})
+def check(docs: DataFrame, lexicon: DataFrame, freq: DataFrame | None = None, bigram: DataFrame | None = None, suggestions: bool = True) -> DataFrame:
+    """Diagnostics (doc_id, rule, rule_order, severity, char_start, char_end, text, message, suggestions) of documents (doc_id, text)."""
+    rows = words_beside(docs).filter(~X.has_digit("text"))
+    # Words of plain letters, nearly all, need no more than this test.
+    odd = ~F.col("text").rlike(f"^[{X.MK}]*$")
+    rows = rows.withColumns({"issue": F.when(odd, X.script_issue("text")), "fixed": F.when(odd, X.normalize("text")).otherwise(F.col("text")), "low": F.lower("text")})
     rows = L.contains(L.contains(rows, lexicon, "text", "known"), lexicon, "fixed", "fixed_known")
     pairs = F.create_map(*(F.lit(x) for kv in fixed.SERBIAN.items() for x in kv))
     rows = rows.withColumn("serb", F.try_element_at(pairs, F.col("low")))

@@ -20,3 +20,20 @@ def tokens(docs: DataFrame, together: bool = False) -> DataFrame:
     if together:
         rows = rows.repartition("doc_id")
     return rows.select("doc_id", F.explode(X.tokenize("text")).alias("t")).select("doc_id", *(F.col(f"t.{f}").alias(f) for f in FIELDS))
+
+
+def words_beside(docs: DataFrame) -> DataFrame:
+    """(doc_id, idx, text, char_start, char_end, prev, next, latin, in_run), one row a word token.
+
+    prev and next are the words before and after it, lower case; ``latin`` is a word of Latin
+    letters only, ``in_run`` one beside another. Neighbours are taken from the document's own
+    array, before it is cut up: no shuffle, no sort, and streams can do it.
+    """
+    words = docs.select("doc_id", X.words(X.tokenize("text")).alias("ws"))
+    words = words.withColumn("latin", F.transform("ws", lambda w: X.is_all_latin(w["text"])))
+    near = lambda i, k: F.coalesce(F.get("latin", i + k), F.lit(False))
+    item = lambda w, i: F.struct(
+        *(w[c].alias(c) for c in ("idx", "text", "char_start", "char_end")), F.lower(F.get("ws", i - 1)["text"]).alias("prev"), F.lower(F.get("ws", i + 1)["text"]).alias("next"),
+        F.get("latin", i).alias("latin"), (F.get("latin", i) & (near(i, -1) | near(i, 1))).alias("in_run"),
+    )
+    return words.select("doc_id", F.explode(F.transform("ws", item)).alias("w")).select("doc_id", "w.*")

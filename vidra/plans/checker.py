@@ -34,9 +34,8 @@ class Checker:
 
     def check(self, docs: DataFrame, suggestions: bool = True) -> DataFrame:
         """Diagnostics of documents (doc_id, text), with rule_order, which breaks ties of equal spans."""
-        cut = tokens(docs, together=True)
-        out = spelling.check(cut, self.lexicon, self.freq, self.bigram, suggestions)
-        return out if self.morph is None else out.unionByName(grammar.check(cut, self.lexicon, self.morph))
+        out = spelling.check(docs, self.lexicon, self.freq, self.bigram, suggestions)
+        return out if self.morph is None else out.unionByName(grammar.check(tokens(docs, together=True), self.lexicon, self.morph))
 
     def suggest_next(self, asked: DataFrame, limit: int = 3) -> DataFrame:
         """Completions of (prev, prefix); none without a table of pairs."""

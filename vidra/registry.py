@@ -12,28 +12,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vidra import grammar_sql as G
 from vidra.functions import fixed
 from vidra.functions import text as X
-from vidra.operators import grammar, lexicon, morphology, ngrams, spelling
-from vidra.operators.tokens import tokens
+from vidra.grammar_sql import KINDS, VOCABULARY
+from vidra.operators import grammar, lexicon, morphology, ngrams
+from vidra.operators.tokens import tokens, words_beside
 from vidra.plans import etl, evaluate, settings
 from vidra.plans.checker import Checker, collected
 
 KNOWN_FROM = 3
 _LATIN, _CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абцдефгхијклмнопќрстувљџњз"
 SETTINGS = {"rulesOff": ["MK_SPELL"], "userWords": ["ла"], "siteOff": ["src0"]}
-# A vocabulary with readings for made-up sentences.
-_WORDS = (
-    "убавата книгата книга убава убаво два две пет книги градови града град тој таа тие ја го ми ѝ и не сака сакаат видов дошол дошла по нај добар подобар најдобар . , ! Видов несака"
-).split()
-_MORPH = [
-    ("книга", "книга", "n f sg nom ind"), ("книгата", "книга", "n f sg nom def"), ("книги", "книга", "n f pl nom ind"), ("убава", "убав", "adj f sg nom ind"), ("убавата", "убав", "adj f sg nom def"),
-    ("убаво", "убав", "adj nt sg nom ind"), ("град", "град", "n m sg nom ind"), ("градови", "град", "n m pl nom ind"), ("града", "град", "n m pl nom ind"), ("два", "два", "num m nom ind"), ("две", "два", "num f nom ind"),
-    ("пет", "пет", "num mfn nom ind"), ("тој", "тој", "prn pers p3 m sg nom"), ("таа", "таа", "prn pers p3 f sg nom"), ("тие", "тие", "prn pers p3 mfn pl nom"), ("ја", "clitic", "prn pers clt p3 f sg acc"),
-    ("го", "clitic", "prn pers clt p3 m sg acc"), ("ми", "ми", "prn pers clt p1 mfn sg dat"), ("ѝ", "clitic", "prn pers clt p3 f sg dat"), ("и", "clitic", "prn pers clt p3 f sg dat"), ("и", "и", "cnjcoo"), ("не", "не", "adv"),
-    ("сака", "сака", "vblex impf tv pres p3 sg"), ("сакаат", "сака", "vblex impf tv pres p3 pl"), ("видов", "види", "vblex perf tv aor p1 sg"), ("дошол", "дојде", "vblex perf lp m sg"), ("дошла", "дојде", "vblex perf lp f sg"),
-    ("добар", "добар", "adj m sg nom ind"), ("подобар", "добар", "adj m sg nom ind"), ("најдобар", "добар", "adj m sg nom ind"),
-]
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,20 +34,17 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("text", F.when(F.col("doc_id") % 5 == 0, some).otherwise(every))
 
 
-def made_up(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, text): a sentence of twelve vocabulary words for each document, chosen by arithmetic on its id."""
-    vocabulary = F.array(*map(F.lit, _WORDS))
-    word = lambda k: F.element_at(vocabulary, (F.pmod(F.col("doc_id") * 31 + k * (F.col("doc_id") % 13 + 7), F.lit(len(_WORDS))) + 1).cast("int"))
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(11)), word), " ").alias("text"))
-
-
-def morph(spark: SparkSession) -> DataFrame:
-    rows = [(s, lemma, t.split(), i) for i, (s, lemma, t) in enumerate(_MORPH)]
-    return morphology.build(spark.createDataFrame(rows, "surface string, lemma string, tags array<string>, place long"))
-
-
-def vocabulary(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(w.lower(),) for w in _WORDS if w.isalpha()], "form string").distinct()
+def morph(forms: DataFrame) -> DataFrame:
+    """A morphology for a lexicon: the rules' own words have theirs; of all others the readings follow from the letters, some have two."""
+    own = [(s, lemma, t.split(), i) for i, (s, lemma, t) in enumerate(VOCABULARY)]
+    named = forms.sparkSession.createDataFrame(own, "surface string, lemma string, tags array<string>, place long")
+    kinds, first, last, n = F.array(*map(F.lit, KINDS)), F.ascii("form"), F.ascii(F.substring("form", -1, 1)), F.char_length("form")
+    kind = lambda i: F.element_at(kinds, (F.pmod(i, F.lit(len(KINDS))) + 1).cast("int"))
+    places = F.array_compact(F.array(F.lit(0), F.when(n % 3 == 0, 1)))
+    rows = forms.filter(~F.col("form").isin([v[0] for v in VOCABULARY])).select("form", F.explode(places).alias("place")).withColumn("kind", F.when(F.col("place") == 0, kind(last * 7 + n * 3 + first)).otherwise(kind(first + n)))
+    lemma = F.when(n > 2, F.expr("left(form, char_length(form) - 1)")).otherwise(F.col("form"))
+    rows = rows.select(F.col("form").alias("surface"), lemma.alias("lemma"), F.split("kind", " ").alias("tags"), F.col("place").cast("long").alias("place"))
+    return morphology.build(rows.unionByName(named))
 
 
 def known(documents: DataFrame) -> DataFrame:
@@ -133,14 +120,15 @@ def l12_top_next(spark, sf_dir):
 
 def l15_alternatives(spark, sf_dir):
     d = docs(spark, sf_dir)
-    words = spelling.neighbours(tokens(d)).select(F.lower("text").alias("word"), "prev", "next")
+    words = words_beside(d).select(F.lower("text").alias("word"), "prev", "next")
     return ngrams.alternatives(words.filter("prev is not null and next is not null"), known(d), ngrams.frequencies(lines(d), None), ngrams.bigrams(lines(d), None))
 
 
 def m1_analyze(spark, sf_dir):
-    words = made_up(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", " ")).alias("at", "word"))
-    rows = morphology.analyze(words, morph(spark), "word").select("doc_id", "at", "word", F.explode_outer("readings").alias("r"))
-    return rows.select("doc_id", "at", "word", "r.lemma", "r.pos", "r.gender", "r.number", "r.defn", "r.person", F.array_join("r.tags", " ").alias("tags"))
+    d = docs(spark, sf_dir)
+    words = tokens(d).filter("kind = 'word'").select("doc_id", "idx", F.col("text").alias("word"))
+    rows = morphology.analyze(words, morph(known(d)), "word").select("doc_id", "idx", "word", F.explode_outer("readings").alias("r"))
+    return rows.select("doc_id", "idx", "word", "r.lemma", "r.pos", "r.gender", "r.number", "r.defn", "r.person", F.array_join("r.tags", " ").alias("tags"))
 
 
 def r_spelling(spark, sf_dir):
@@ -159,15 +147,37 @@ def r3_latin(spark, sf_dir):
     return Checker(known(d)).check(spark.read.parquet(f"{sf_dir}/documents.parquet"), suggestions=False).filter("rule = 'MK_LATIN_TEXT'").select("doc_id", "char_start", "text", F.array_join("suggestions", "|").alias("suggestions"))
 
 
-def g_grammar(spark, sf_dir):
-    found = grammar.check(tokens(made_up(spark, sf_dir), together=True), vocabulary(spark), morph(spark))
+def _grammar(spark, sf_dir, d):
+    forms = known(docs(spark, sf_dir))
+    found = grammar.check(tokens(d, together=True), forms, morph(forms))
     return found.select("doc_id", "rule", "rule_order", "severity", "char_start", "char_end", "text", F.array_join("suggestions", "|").alias("suggestions"))
 
 
-def g9_space(spark, sf_dir):
-    spaced = docs(spark, sf_dir).select("doc_id", F.regexp_replace("text", r"\.\n", " .\n").alias("text"))
-    found = grammar.check(tokens(spaced, together=True), vocabulary(spark), morph(spark)).filter("rule = 'MK_SPACE_BEFORE_PUNCT'")
-    return found.select("doc_id", "char_start", "char_end", "text")
+def g_grammar(spark, sf_dir):
+    return _grammar(spark, sf_dir, docs(spark, sf_dir))
+
+
+#: Words put into the texts for the rules that are about single words.
+_PUT = [
+    (". ", " . "), (" а", " нај добар а"), (" в", " по добар в"), (" р", " два книги р"), (" л", " нел"), (" т", " две градови т"), (" м", " пет градови м"), (" с", " тој и ја с"),
+    (" к", " тој дошла к"), (" п", " го ми сака п"), (" д", " убавата книгата д"), (" б", " тие не сака б"), (" г", " несака видов книгата г"),
+]
+
+
+def g_words(spark, sf_dir):
+    """The grammar of texts with more of the words that rules name."""
+    text = F.col("text")
+    for i, (a, b) in enumerate(_PUT):
+        text = F.when(F.col("doc_id") % len(_PUT) == i, F.replace("text", F.lit(a), F.lit(b))).otherwise(text)
+    return _grammar(spark, sf_dir, docs(spark, sf_dir).withColumn("text", text))
+
+
+def check_all(spark, sf_dir):
+    """The whole check: spelling with ranked suggestions, and grammar."""
+    d = docs(spark, sf_dir)
+    forms = known(d)
+    checker = Checker(forms, morph(forms), ngrams.frequencies(lines(d)), ngrams.bigrams(lines(d)))
+    return checker.check(d).select("doc_id", "rule", "severity", "char_start", "char_end", "text", F.array_join("suggestions", "|").alias("suggestions"))
 
 
 def e6_frequencies(spark, sf_dir):
@@ -235,7 +245,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = [
         t1_tokenize, t8_scripts, t11_words, t14_normalize, t17_candidates, l1_contains, l3_compounds, l5_suggest, l7_cost, l12_top_next, l15_alternatives, m1_analyze, r_spelling, r5_suggestions, r3_latin,
-        g_grammar, g9_space, e6_frequencies, e7_bigrams, e8_gaps, e9_flag_rate, e9_by_rule, e9_top_words, e10_shape, e11_typos, e15_settings, t25_fixes, k5_json,
+        g_grammar, g_words, check_all, e6_frequencies, e7_bigrams, e8_gaps, e9_flag_rate, e9_by_rule, e9_top_words, e10_shape, e11_typos, e15_settings, t25_fixes, k5_json,
     ]
     return {f.__name__: f for f in every}
 
@@ -321,23 +331,15 @@ def oracle_sql() -> dict[str, str]:
         "e9_by_rule": spelled + "SELECT rule, count(*) AS n FROM s GROUP BY 1",
         "e9_top_words": spelled + "SELECT text, count(*) AS n FROM s WHERE rule = 'MK_SPELL' GROUP BY 1 ORDER BY n DESC, text LIMIT 15",
         "e15_settings": spelled + "SELECT s.doc_id, rule, char_start, s.text FROM s JOIN d USING (doc_id) WHERE rule <> 'MK_SPELL' AND lower(s.text) <> 'ла' AND source <> 'src0'",
-        "g9_space": (
-            f"WITH {_D}, p AS (SELECT doc_id, replace(text, '.' || chr(10), ' .' || chr(10)) AS text FROM d), {_tokens('p')}, x AS (SELECT *, lag(kind) OVER o AS k0, lag(char_end) OVER o AS e0, lead(kind) OVER o AS k2, lead(gap) OVER o AS g2 FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY idx)) "
-            "SELECT doc_id, e0 AS char_start, char_end, ' ' || text AS text FROM x WHERE kind = 'punct' AND gap AND k0 IN ('word', 'number') AND text IN (',', '.', '!', '?', ':', ';', '…', '”', '’', ')') AND NOT (text IN (':', ';') AND coalesce(k2 = 'punct' AND NOT g2, false))"
-        ),
     }
-    values = ", ".join(f"('{s}', '{lemma}', '{t}', {i})" for i, (s, lemma, t) in enumerate(_MORPH))
-    words = ", ".join(f"'{w}'" for w in _WORDS)
-
-    def pick(table: dict[str, str]) -> str:
-        inside = ", ".join(f"'{k}'" for k in table)
-        cases = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items())
-        return f"CASE list_filter(string_split(tags, ' '), lambda x: x IN ({inside}))[1] {cases} END"
-
+    table = f"{_KNOWN}, {G.readings()}"
+    person = "pos, gender, number, defn, person, array_to_string(tags, ' ') AS tags"
     out["m1_analyze"] = (
-        f"WITH m(surface, lemma, tags, i) AS (VALUES {values}), s AS (SELECT doc_id, unnest(range(12)) AS i FROM documents), w AS (SELECT doc_id, i::INT AS \"at\", ([{words}])[(doc_id * 31 + i * (doc_id % 13 + 7)) % {len(_WORDS)} + 1] AS word FROM s) "
-        f"SELECT doc_id, \"at\", word, lemma, {pick(fixed.POS)} AS pos, {pick(fixed.GENDER)} AS gender, {pick(fixed.NUMBER)} AS number, {pick(fixed.DEFINITENESS)} AS defn, "
-        "CASE WHEN list_contains(string_split(tags, ' '), 'p1') THEN 1 WHEN list_contains(string_split(tags, ' '), 'p2') THEN 2 WHEN list_contains(string_split(tags, ' '), 'p3') THEN 3 END AS person, tags "
-        "FROM w LEFT JOIN m ON m.surface = CASE WHEN w.word IN (SELECT surface FROM m) THEN w.word ELSE lower(w.word) END"
+        f"WITH {_D}, {_tokens('d')}, {table} SELECT t.doc_id, t.idx, t.text AS word, lemma, {person} FROM t LEFT JOIN rr ON rr.surface = CASE WHEN t.text IN (SELECT surface FROM rr) THEN t.text ELSE lower(t.text) END WHERE kind = 'word'"
     )
+    out["g_grammar"] = f"WITH {_D}, {_tokens('d')}, {table}, {G.features()}, {G.rules()} SELECT * FROM z"
+    put = "CASE doc_id % " + str(len(_PUT)) + "".join(f" WHEN {i} THEN replace(text, '{a}', '{b}')" for i, (a, b) in enumerate(_PUT)) + " END"
+    grown = f"dg AS (SELECT doc_id, {put} AS text FROM d)"
+    words = _KNOWN.replace("FROM t ", "FROM tk ")
+    out["g_words"] = f"WITH {_D}, {grown}, {_tokens('d', 'tk')}, {words}, {_tokens('dg')}, {G.readings()}, {G.features()}, {G.rules()} SELECT * FROM z"
     return out
