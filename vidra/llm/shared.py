@@ -89,13 +89,19 @@ def count_upto(df: DataFrame, most: int) -> int:
 
 
 _shipped: dict[str, str] = {}
+#: Bytes of an Arrow batch sent to Python; rows can be of any size, and a task holds a few copies of a batch.
+BATCH_BYTES = 16 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once for each application, wherever the driver imported it from."""
+    """Give the executors this package, once for each application, wherever the driver imported it from; keep Arrow batches small."""
     import os
     import zipfile
 
+    now = spark.conf.get(_BATCH, "64m").strip().lower()
+    if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
