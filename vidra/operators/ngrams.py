@@ -59,16 +59,17 @@ def completion_request(before: str, prefix: str) -> tuple[F.Column, F.Column, F.
     return prev, F.col(prefix), (F.char_length(prefix) >= 2) & (prev != "")
 
 
-def alternatives(asked: DataFrame, lexicon: DataFrame, freq: DataFrame, bigram: DataFrame) -> DataFrame:
+def alternatives(asked: DataFrame, lexicon: DataFrame, freq: DataFrame, bigram: DataFrame, min_word: int = MIN_WORD, min_neighbour: int = MIN_NEIGHBOUR, min_alternative: int = MIN_ALTERNATIVE) -> DataFrame:
     """(word, prev, next, alternative) where a frequent, known word fits neither neighbour and a near form fits both.
 
-    Opt-in: no check uses it. Of equally good forms, the first that ``suggest`` ranks counts.
+    Opt-in: no check uses it. The thresholds are counts, to be set by the size of the tables. Of
+    equally good forms, the first that ``suggest`` ranks counts.
     """
     rows = asked.select(*(F.lower(c).alias(c) for c in ("word", "prev", "next"))).distinct().filter(F.char_length("word") >= MIN_CHARS)
-    for column, least in (("word", MIN_WORD), ("prev", MIN_NEIGHBOUR), ("next", MIN_NEIGHBOUR)):
+    for column, least in (("word", min_word), ("prev", min_neighbour), ("next", min_neighbour)):
         rows = with_frequency(rows, freq, column, "_f").filter(F.col("_f") >= least).drop("_f")
     rows = with_bigram(with_bigram(rows, bigram, "prev", "word", "_a"), bigram, "word", "next", "_b").filter("_a = 0 and _b = 0").drop("_a", "_b")
     near = suggest(rows.select(F.col("word").alias("query")), lexicon, CANDIDATES).select(F.col("query").alias("word"), "form", "place")
     hits = with_bigram(with_bigram(rows.join(near, "word"), bigram, "prev", "form", "_l"), bigram, "form", "next", "_r")
-    hits = hits.filter((F.col("_l") >= MIN_ALTERNATIVE) & (F.col("_r") >= MIN_ALTERNATIVE))
+    hits = hits.filter((F.col("_l") >= min_alternative) & (F.col("_r") >= min_alternative))
     return hits.groupBy("word", "prev", "next").agg(F.max_by("form", F.struct(F.least("_l", "_r"), -F.col("place"))).alias("alternative"))

@@ -36,20 +36,20 @@ def shape(diagnostics: DataFrame) -> DataFrame:
 
 
 def typos(freq: DataFrame, words: int = 3000, seed: int = 7) -> DataFrame:
-    """(word, typo): one deletion, substitution or transposition in each of the most frequent words of five letters or more, drawn by a hash of word and seed."""
+    """(word, typo): one deletion, substitution or transposition in each of the most frequent words of five letters or more, drawn by a digest of word and seed."""
     top = freq.orderBy(F.desc("n"), "word").limit(words).filter(F.char_length("word") >= 5)
-    h = lambda k: F.xxhash64("word", F.lit(seed), F.lit(k))
+    drawn = F.md5(F.concat("word", F.lit(f" {seed}")))
+    h = lambda k: F.conv(F.substring(drawn, 6 * k - 5, 6), 16, 10).cast("int")
     n = F.char_length("word")
-    i = F.pmod(h(1), n.cast("long")).cast("int")
-    letter = F.substring(F.lit(fixed.LETTERS), F.pmod(h(3), F.lit(len(fixed.LETTERS))).cast("int") + 1, F.lit(1))
-    rows = top.select("word", i.alias("i"), F.least(i, n - 2).alias("j"), F.pmod(h(2), F.lit(3)).alias("kind"), letter.alias("letter"), n.alias("n"))
+    letter = F.substring(F.lit(fixed.LETTERS), h(3) % len(fixed.LETTERS) + 1, F.lit(1))
+    rows = top.select("word", (h(1) % n).alias("i"), F.least(h(1) % n, n - 2).alias("j"), (h(2) % 3).alias("kind"), letter.alias("letter"), n.alias("n"))
     cut = lambda a, m: F.substring("word", a, m)
     typo = (
         F.when(F.col("kind") == 0, F.concat(cut(F.lit(1), F.col("i")), cut(F.col("i") + 2, F.col("n"))))
         .when(F.col("kind") == 1, F.concat(cut(F.lit(1), F.col("i")), "letter", cut(F.col("i") + 2, F.col("n"))))
         .otherwise(F.concat(cut(F.lit(1), F.col("j")), cut(F.col("j") + 2, F.lit(1)), cut(F.col("j") + 1, F.lit(1)), cut(F.col("j") + 3, F.col("n"))))
     )
-    return rows.select("word", typo.alias("typo")).filter("typo <> word").dropDuplicates(["typo"])
+    return rows.select("word", typo.alias("typo")).filter("typo <> word").groupBy("typo").agg(F.min("word").alias("word")).select("word", "typo")
 
 
 def missed(typo_rows: DataFrame, diagnostics: DataFrame) -> DataFrame:

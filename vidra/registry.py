@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vidra import grammar_sql as G
+from vidra import search_sql as S
 from vidra.functions import fixed
 from vidra.functions import text as X
 from vidra.grammar_sql import KINDS, VOCABULARY
@@ -23,6 +24,8 @@ from vidra.plans.checker import Checker, collected
 
 KNOWN_FROM = 3
 _LATIN, _CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абцдефгхијклмнопќрстувљџњз"
+#: Of the detector of wrong but known words, for tables as small as these.
+THRESHOLDS = (2, 2, 1)
 SETTINGS = {"rulesOff": ["MK_SPELL"], "userWords": ["ла"], "siteOff": ["src0"]}
 
 
@@ -82,7 +85,7 @@ def t14_normalize(spark, sf_dir):
 
 def t17_candidates(spark, sf_dir):
     words = _distinct_words(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return words.select("word", X.candidates("word").alias("readings"), X.transliterate("word").alias("first"))
+    return words.select("word", F.array_join(X.candidates("word"), "|").alias("readings"), X.transliterate("word").alias("first"))
 
 
 def l1_contains(spark, sf_dir):
@@ -121,7 +124,21 @@ def l12_top_next(spark, sf_dir):
 def l15_alternatives(spark, sf_dir):
     d = docs(spark, sf_dir)
     words = words_beside(d).select(F.lower("text").alias("word"), "prev", "next")
-    return ngrams.alternatives(words.filter("prev is not null and next is not null"), known(d), ngrams.frequencies(lines(d), None), ngrams.bigrams(lines(d), None))
+    return ngrams.alternatives(words.filter("prev is not null and next is not null"), known(d), ngrams.frequencies(lines(d), None), ngrams.bigrams(lines(d), None), *THRESHOLDS)
+
+
+def l13_suggest_next(spark, sf_dir):
+    """Completions, for every second word of a pair, of its first letter."""
+    pairs = ngrams.bigrams(lines(docs(spark, sf_dir)))
+    asked = pairs.select("prev", F.substring("word", 1, 1).alias("prefix")).distinct()
+    return Checker(pairs.select(F.col("word").alias("form")), bigram=pairs).suggest_next(asked)
+
+
+def l14_requests(spark, sf_dir):
+    """What would be asked for at the end of each line."""
+    rows = lines(docs(spark, sf_dir)).select(F.regexp_extract("line", r"^(.*?)([\p{L}]*)$", 1).alias("before"), F.regexp_extract("line", r"^(.*?)([\p{L}]*)$", 2).alias("prefix"))
+    prev, prefix, ask = ngrams.completion_request("before", "prefix")
+    return rows.select(F.md5(prev).alias("prev_md5"), prefix.alias("prefix"), ask.alias("ask")).groupBy("prev_md5", "prefix", "ask").agg(F.count(F.lit(1)).alias("n"))
 
 
 def m1_analyze(spark, sf_dir):
@@ -191,7 +208,7 @@ def e7_bigrams(spark, sf_dir):
 def e8_gaps(spark, sf_dir):
     d = docs(spark, sf_dir)
     corpora = d.select(F.explode(F.split("text", "\n", -1)).alias("line"), "source", F.col("doc_id").alias("place"))
-    return etl.gaps(corpora, known(d)).select("word", "n")
+    return etl.gaps(corpora, known(d)).select("word", "n", "source")
 
 
 def _spelled(spark, sf_dir):
@@ -220,6 +237,19 @@ def e11_typos(spark, sf_dir):
     return evaluate.typos(ngrams.frequencies(lines(docs(spark, sf_dir))))
 
 
+def e11_missed(spark, sf_dir):
+    """How many of the typos no rule finds."""
+    d = docs(spark, sf_dir)
+    drawn = evaluate.typos(ngrams.frequencies(lines(d)))
+    found = Checker(known(d)).check(drawn.select(F.xxhash64("typo").alias("doc_id"), F.col("typo").alias("text")), suggestions=False)
+    return evaluate.missed(drawn, found)
+
+
+def e13_positions(spark, sf_dir):
+    d, found = _spelled(spark, sf_dir)
+    return evaluate.positions(d, found.filter("rule <> 'MK_SPELL'"))
+
+
 def e15_settings(spark, sf_dir):
     d = settings.enabled_sources(docs(spark, sf_dir), SETTINGS)
     found = settings.apply(Checker(known(docs(spark, sf_dir))).check(d, suggestions=False), SETTINGS)
@@ -244,8 +274,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = [
-        t1_tokenize, t8_scripts, t11_words, t14_normalize, t17_candidates, l1_contains, l3_compounds, l5_suggest, l7_cost, l12_top_next, l15_alternatives, m1_analyze, r_spelling, r5_suggestions, r3_latin,
-        g_grammar, g_words, check_all, e6_frequencies, e7_bigrams, e8_gaps, e9_flag_rate, e9_by_rule, e9_top_words, e10_shape, e11_typos, e15_settings, t25_fixes, k5_json,
+        t1_tokenize, t8_scripts, t11_words, t14_normalize, t17_candidates, l1_contains, l3_compounds, l5_suggest, l7_cost, l12_top_next, l13_suggest_next, l14_requests, l15_alternatives, m1_analyze, r_spelling, r5_suggestions, r3_latin,
+        g_grammar, g_words, check_all, e6_frequencies, e7_bigrams, e8_gaps, e9_flag_rate, e9_by_rule, e9_top_words, e10_shape, e11_typos, e11_missed, e13_positions, e15_settings, t25_fixes, k5_json,
     ]
     return {f.__name__: f for f in every}
 
@@ -290,7 +320,7 @@ _SERB = "sr(low, mk) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in fixe
 _READING = "translate(low, 'a', 'а')"
 _SPELLED = (
     f"wl AS (SELECT *, {_LATIN_SQL.replace('§', 'text')} AND NOT regexp_matches(text, '{_CYR}') AS latin FROM t WHERE kind = 'word'), "
-    "wr AS (SELECT *, latin AND (coalesce(lag(latin) OVER o, false) OR coalesce(lead(latin) OVER o, false)) AS in_run FROM wl WINDOW o AS (PARTITION BY doc_id ORDER BY idx)), "
+    "wr AS (SELECT *, latin AND (coalesce(lag(latin) OVER o, false) OR coalesce(lead(latin) OVER o, false)) AS in_run, lag(lower(text)) OVER o AS prev, lead(lower(text)) OVER o AS next FROM wl WINDOW o AS (PARTITION BY doc_id ORDER BY idx)), "
     f"w0 AS (SELECT *, lower(text) AS low, {_normal('text')} AS fixed, {_ISSUE.replace('§', 'text')} AS issue FROM wr WHERE NOT regexp_matches(text, '\\p{{N}}')), "
     f"w1 AS (SELECT w0.*, k.form IS NOT NULL AS known, k2.form IS NOT NULL AS fixed_known, sr.mk, k3.form AS reading FROM w0 LEFT JOIN k ON k.form = w0.low LEFT JOIN k k2 ON k2.form = lower(fixed) LEFT JOIN k k3 ON latin AND k3.form = {_READING.replace('low', 'w0.low')} LEFT JOIN sr ON sr.low = w0.low), "
     "cp AS (SELECT text, unnest(string_split(low, '-')) AS p FROM (SELECT DISTINCT text, low FROM w0 WHERE contains(text, '-'))), cw AS (SELECT text FROM cp LEFT JOIN k ON k.form = p GROUP BY 1 HAVING bool_and(p <> '' AND k.form IS NOT NULL)), "
@@ -332,6 +362,84 @@ def oracle_sql() -> dict[str, str]:
         "e9_top_words": spelled + "SELECT text, count(*) AS n FROM s WHERE rule = 'MK_SPELL' GROUP BY 1 ORDER BY n DESC, text LIMIT 15",
         "e15_settings": spelled + "SELECT s.doc_id, rule, char_start, s.text FROM s JOIN d USING (doc_id) WHERE rule <> 'MK_SPELL' AND lower(s.text) <> 'ла' AND source <> 'src0'",
     }
+    base = f"WITH {_D}, {_tokens('d')}, {_KNOWN}"
+    counted = f"{_LINES}, {_PAIRS.replace('b AS', 'b0 AS')}, b AS (SELECT * FROM b0 ORDER BY n DESC, prev, word LIMIT 50000), fr AS (SELECT word, count(*) AS n FROM (SELECT unnest(ws) AS word FROM ws) GROUP BY 1 ORDER BY n DESC, word LIMIT 40000)"
+    out["l3_compounds"] = (
+        f"WITH {_D}, h AS (SELECT doc_id, replace(text, '. ', '-') AS text FROM d), {_tokens('d')}, {_KNOWN}, {_tokens('h', 'th')}, w AS (SELECT DISTINCT text AS word FROM th WHERE kind = 'word' AND contains(text, '-')), "
+        "p AS (SELECT word, unnest(string_split(word, '-')) AS part FROM w) SELECT word, bool_and(part <> '' AND k.form IS NOT NULL) AS compound FROM p LEFT JOIN k ON k.form = lower(part) GROUP BY 1"
+    )
+    out["l7_cost"] = f"{base}, p AS (SELECT form, lead(form) OVER (PARTITION BY form[1] ORDER BY form) AS next FROM k) SELECT form, next, {S.cost('form', 'next')} AS cost FROM p WHERE next IS NOT NULL"
+    out["l5_suggest"] = f"{base}, q AS (SELECT DISTINCT lower(text) AS query FROM t WHERE kind = 'word' AND lower(text) NOT IN (SELECT form FROM k)), {S.suggest(5)} SELECT * FROM sg"
+    asked = "asked AS (SELECT low AS query, prev, next FROM w2 WHERE rule = 'MK_SPELL'), q AS (SELECT DISTINCT query FROM asked)"
+    ranked = f"{counted}, {asked}, {S.suggest(4 * fixed.MAX_SUGGESTIONS)}, {S.ranked()}"
+    own = "SELECT w2.doc_id, rule, char_start, char_end, w2.text, coalesce(rk.suggestions, '') AS suggestions FROM w2 LEFT JOIN rk ON rk.query = low AND rk.prev IS NOT DISTINCT FROM w2.prev AND rk.next IS NOT DISTINCT FROM w2.next WHERE rule = 'MK_SPELL'"
+    out["r5_suggestions"] = spelled + f", {ranked} {own} UNION ALL SELECT doc_id, rule, char_start, char_end, text, suggestions FROM s WHERE rule <> 'MK_SPELL'"
+    out["check_all"] = (
+        spelled + f", {ranked}, {G.readings()}, {G.features()}, {G.rules()} SELECT doc_id, rule, 'error' AS severity, char_start, char_end, text, suggestions FROM ({own}) "
+        "UNION ALL SELECT doc_id, rule, severity, char_start, char_end, text, suggestions FROM s WHERE rule <> 'MK_SPELL' UNION ALL SELECT doc_id, rule, severity, char_start, char_end, text, suggestions FROM z"
+    )
+    out["t17_candidates"] = f"WITH RECURSIVE {plain}, w AS (SELECT DISTINCT text AS word FROM t WHERE kind = 'word'), {S.readings('w')} SELECT word, array_to_string(readings, '|') AS readings, first FROM cd"
+    out["r3_latin"] = (
+        f"WITH RECURSIVE {_D}, {_tokens('d')}, {_KNOWN}, {_tokens('documents', 'tp')}, wl AS (SELECT *, {_LATIN_SQL.replace('§', 'text')} AND NOT regexp_matches(text, '{_CYR}') AS latin FROM tp WHERE kind = 'word'), "
+        "wr AS (SELECT *, latin AND (coalesce(lag(latin) OVER o, false) OR coalesce(lead(latin) OVER o, false)) AS in_run FROM wl WINDOW o AS (PARTITION BY doc_id ORDER BY idx)), "
+        f"lw AS (SELECT doc_id, char_start, text AS word FROM wr WHERE in_run AND NOT regexp_matches(text, '\\p{{N}}') AND length(text) >= {fixed.MIN_LATIN} AND NOT {_ACRONYM.replace('§', 'text')}), {S.readings('lw')}, "
+        f"kl AS (SELECT list(form) AS forms FROM k), x AS (SELECT word, unnest(readings) AS reading, generate_subscripts(readings, 1) AS i FROM cd), "
+        f"g AS (SELECT word, array_to_string(list(reading ORDER BY i)[:{fixed.MAX_SUGGESTIONS}], '|') AS suggestions FROM x JOIN k ON k.form = lower(reading) GROUP BY 1) SELECT doc_id, char_start, word AS text, suggestions FROM lw JOIN g USING (word)"
+    )
+    out["l13_suggest_next"] = (
+        f"WITH {_D}, {counted}, a AS (SELECT DISTINCT prev, word[1] AS prefix FROM b) SELECT prev, prefix, word, n, place::INT AS place FROM "
+        "(SELECT a.prev, a.prefix, b.word, b.n, row_number() OVER (PARTITION BY a.prev, a.prefix ORDER BY b.n DESC, b.word) AS place FROM a JOIN b ON a.prev = b.prev AND starts_with(b.word, a.prefix)) WHERE place <= 3"
+    )
+    out["l14_requests"] = (
+        f"WITH {_D}, l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM d), p AS (SELECT regexp_extract(line, '(\\p{{L}}*)$', 1) AS prefix, line FROM l), "
+        "r AS (SELECT prefix, regexp_replace(line[:length(line) - length(prefix)], '[^\\p{L}]+$', '') AS prev FROM p) SELECT md5(prev) AS prev_md5, prefix, length(prefix) >= 2 AND prev <> '' AS ask, count(*) AS n FROM r GROUP BY ALL"
+    )
+    word, neighbour, alternative = THRESHOLDS
+    out["l15_alternatives"] = (
+        f"{base}, {_LINES}, {_PAIRS}, f AS (SELECT word, count(*) AS n FROM (SELECT unnest(ws) AS word FROM ws) GROUP BY 1), x AS (SELECT lower(text) AS word, lag(lower(text)) OVER o AS prev, lead(lower(text)) OVER o AS next FROM t WHERE kind = 'word' WINDOW o AS (PARTITION BY doc_id ORDER BY idx)), "
+        f"a AS (SELECT DISTINCT x.* FROM x JOIN f fw ON fw.word = x.word AND fw.n >= {word} JOIN f fp ON fp.word = prev AND fp.n >= {neighbour} JOIN f fn ON fn.word = next AND fn.n >= {neighbour} WHERE length(x.word) >= 4), "
+        "u AS (SELECT a.* FROM a ANTI JOIN b l ON l.prev = a.prev AND l.word = a.word), v AS (SELECT u.* FROM u ANTI JOIN b r ON r.prev = u.word AND r.word = u.next), q AS (SELECT DISTINCT word AS query FROM v), "
+        f"{S.suggest(8)}, c AS (SELECT v.*, form, place, least(l.n, r.n) AS least_n FROM v JOIN sg ON sg.query = v.word JOIN b l ON l.prev = v.prev AND l.word = form JOIN b r ON r.prev = form AND r.word = v.next WHERE l.n >= {alternative} AND r.n >= {alternative}) "
+        "SELECT word, prev, next, arg_max(form, (least_n, -place)) AS alternative FROM c GROUP BY ALL"
+    )
+    out["e8_gaps"] = (
+        f"{base}, l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM d), "
+        "r AS (SELECT doc_id, source, trim(unnest(regexp_split_to_array(line, '[^\\p{L}\\p{M}\\p{Nd}\\p{Pc}-]+')), '-') AS raw FROM l WHERE NOT regexp_matches(line, '(?i)[ъѣщыьэюяђћѫѧі]')), "
+        f"w AS (SELECT doc_id, source, lower(raw) AS word FROM r WHERE regexp_matches(raw, '[Ѐ-ӿ]') AND NOT (upper(raw) = raw AND lower(raw) <> raw)) "
+        f"SELECT word, count(*) AS n, arg_min(source, doc_id) AS source FROM w ANTI JOIN k ON k.form = word WHERE regexp_matches(word, '^[{fixed.LETTERS + fixed.ACCENTED}]{{3,32}}$') GROUP BY 1 ORDER BY n DESC, word LIMIT 5000"
+    )
+    share = lambda c: f"100.0::DOUBLE * count(*) FILTER ({c}) / greatest(count(*), 1)"
+    out["e10_shape"] = spelled + (
+        f"SELECT count(*) AS spell, {share(chr(39).join(('regexp_matches(text, ', '^\\p{Lu}', ')')))} AS capitalized, {share('length(text) <= 3')} AS short, {share(chr(39).join(('contains(text, ', '-', ')')))} AS with_hyphen, "
+        f"{share(chr(39).join(('regexp_matches(text, ', '\\p{N}', ')')))} AS with_digit FROM s WHERE rule = 'MK_SPELL'"
+    )
+    h = lambda k: f"('0x' || drawn[{6 * k - 5}:{6 * k}])::INT"
+    drawn = (
+        f"y0 AS (SELECT word, md5(word || ' 7') AS drawn, length(word) AS n FROM (SELECT * FROM fr ORDER BY n DESC, word LIMIT 3000) WHERE length(word) >= 5), "
+        f"y1 AS (SELECT word, n, {h(1)} % n AS i, least({h(1)} % n, n - 2) AS j, {h(2)} % 3 AS kind, '{fixed.LETTERS}'[{h(3)} % {len(fixed.LETTERS)} + 1] AS letter FROM y0), "
+        "y2 AS (SELECT word, CASE kind WHEN 0 THEN word[:i] || word[i + 2:] WHEN 1 THEN word[:i] || letter || word[i + 2:] ELSE word[:j] || word[j + 2] || word[j + 1] || word[j + 3:] END AS typo FROM y1), "
+        "y AS (SELECT min(word) AS word, typo FROM y2 WHERE typo <> word GROUP BY 2)"
+    )
+    out["e11_typos"] = f"WITH {_D}, {counted}, {drawn} SELECT word, typo FROM y"
+    known_words = _KNOWN.replace("FROM t ", "FROM tk ")
+    out["e11_missed"] = (
+        f"WITH {_D}, {_tokens('d', 'tk')}, {known_words}, {counted}, {drawn}, dy AS (SELECT typo AS doc_id, typo AS text FROM y), {_tokens('dy')}, {_SERB}, {_SPELLED} "
+        "SELECT count(*) AS typos, count(*) FILTER (typo NOT IN (SELECT text FROM s)) AS missed, 100.0::DOUBLE * count(*) FILTER (typo NOT IN (SELECT text FROM s)) / greatest(count(*), 1) AS rate FROM y"
+    )
+    out["e13_positions"] = spelled + (
+        ", pw AS (SELECT doc_id, word, min(i) - 1 AS i FROM (SELECT doc_id, unnest(p) AS word, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '\\s+') AS p FROM d)) GROUP BY ALL) "
+        "SELECT s.doc_id, s.text AS word, rule, pw.i::INT AS \"at\" FROM s LEFT JOIN pw ON pw.doc_id = s.doc_id AND pw.word = s.text WHERE rule <> 'MK_SPELL'"
+    )
+    out["t25_fixes"] = (
+        f"{base}, {_SERB}, {_SPELLED}, fx AS (SELECT doc_id, idx, fixed FROM w2 WHERE rule = 'MK_HOMOGLYPH' AND fixed <> text), "
+        "n AS (SELECT tw.doc_id, string_agg(CASE WHEN fx.fixed IS NULL THEN u ELSE u[:length(u) - length(tw.text)] || fx.fixed END, '' ORDER BY tw.idx) AS text, sum(length(u)) AS upto FROM tw LEFT JOIN fx ON fx.doc_id = tw.doc_id AND fx.idx = tw.idx GROUP BY 1) "
+        "SELECT d.doc_id, sha256(coalesce(n.text || d.text[upto + 1:], d.text)) AS text_sha256 FROM d LEFT JOIN n USING (doc_id)"
+    )
+    messages = " ".join(f"WHEN '{r[0]}' THEN " + (f"replace('{r[5]}', '{{}}', m.mk)" if "{}" in r[5] else f"'{r[5]}'") for r in fixed.RULES)
+    out["k5_json"] = spelled + (
+        f", js AS (SELECT doc_id, {{char_start: char_start, char_end: char_end, rule_order: 0, rule: rule, severity: severity, text: s.text, message: CASE rule {messages} END, suggestions: CASE WHEN suggestions = '' THEN [] ELSE [suggestions] END}} AS j FROM s LEFT JOIN sr m ON m.low = lower(s.text)) "
+        "SELECT doc_id, count(*)::INT AS n, sha256(to_json(list(j ORDER BY j))::VARCHAR) AS sha256 FROM js GROUP BY 1"
+    )
     table = f"{_KNOWN}, {G.readings()}"
     person = "pos, gender, number, defn, person, array_to_string(tags, ' ') AS tags"
     out["m1_analyze"] = (
