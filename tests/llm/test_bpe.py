@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from vidra.llm.bpe import Codec, decode, encode
+from vidra.llm.bpe import Codec, Digest, decode, encode
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -25,8 +25,27 @@ def test_chunks_of_any_size_encode_as_one_text(reference, chunk, overlap, thread
         text = "".join(rng.choice(["a", "é", "Z", " ", "  ", "\n", "\t\n ", "12", "'ll", "'s", "!", "😀", "ab" * 9, " " * 20, "x" * 70, "<|endoftext|>"]) for _ in range(rng.randrange(120)))
         want = reference.encode_ordinary(text)
         assert own.encode(text) == want
-        n, ids, raw = own.digest(text)
-        assert (n, ids, raw) == (len(want), hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+        digest = Digest(own)
+        for i in range(0, len(want), 3):
+            digest.add(want[i : i + 3])
+        assert digest.row() == digests(want, text)
+
+
+def digests(ids, text):
+    return len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_chunks_dealt_over_tasks(spark, reference):
+    """Most texts take several chunks; some have pre-tokens that span an overlap, or whole chunks."""
+    rng = random.Random(15)
+    bits = ["a", "é", "Z", " ", "  ", "\n", "\t\n ", "12", "'ll", "'s", "!", "😀", "ab" * 9, " " * 20, "x" * 70, "<|endoftext|>", " word", " other"]
+    texts = ["".join(rng.choice(bits[:-3] if i % 4 else bits) for _ in range(rng.randrange(120))) for i in range(300)] + [" word" * 3000, "x" * 9000, "", None, "a b " * 10]
+    docs = spark.createDataFrame([(i if i % 50 else None, t) for i, t in enumerate(texts)] + [(7, texts[7])], "doc_id long, text string")
+    want = sorted((*digests(ids := reference.encode_ordinary(t or ""), t or ""), ids) for t in [*texts, texts[7]])
+    for chunk, overlap in ((16, 8), (40, 30), (500, 100)):
+        got = encode(spark, docs, PATH, public_tokenizers.PATTERN, True, chunk, overlap).collect()
+        assert sorted((r.n_tokens, r.ids_sha256, r.decoded_sha256, list(r.token_ids)) for r in got) == want
+        assert sorted(r.doc_id or -1 for r in got) == sorted(r.doc_id or -1 for r in docs.collect())
 
 
 def test_table_with_nulls_repeats_and_other_columns(spark, reference):
