@@ -1,7 +1,14 @@
+import math
 import random
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+
+from vidra.llm import decontaminate, ngram_jaccard
 from vidra.llm.components import connected_components
-from vidra.llm.decontaminate import keep_clean, matches
+from vidra.llm.decontaminate import BlockMaxIndex, keep_clean, matches
+from vidra.llm.kernels import ALNUM_WORDS, buffers, word_hashes, word_spans
 from vidra.llm.ngram_jaccard import components
 
 
@@ -47,6 +54,34 @@ def test_components_against_brute_force(spark):
     assert len({c for _, _, c in got}) < len(rows)
 
 
+def test_near_copies_that_are_just_too_different(spark, monkeypatch):
+    """One family, pairwise below 80 %, with a few true links, in one tile and in many."""
+    rng = random.Random(21)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(90):
+        words = list(base)
+        for k in rng.sample(range(0, 120, 8), 3):
+            words[k] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(100 + i, rows[i][1] + " tail") for i in range(0, 90, 9)] + [(200, " ".join(base)), (201, " ".join(base[:-1])), (300, None), (301, rows[3][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    assert 60 < len({c for _, _, c in want}) < 92
+    for tile, similar in ((1 << 19, 30), (1000, 30), (400, 95)):
+        monkeypatch.setattr(ngram_jaccard, "TILE", tile)
+        monkeypatch.setattr(ngram_jaccard, "SIMILAR", similar)
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in components(spark, docs).collect()) == want
+
+
+def test_components_of_many_rows_without_id(spark):
+    rng = random.Random(22)
+    rows = [(None, " ".join(f"w{rng.randrange(900)}" for _ in range(40))) for _ in range(60)]
+    rows += [(None, t + " more") for _, t in rows[:20]] + [(5, rows[30][1] + " more")]
+    got = components(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.component_id) for r in got) == {(None, None): 79, (None, 5): 1, (5, 5): 1}
+
+
 def test_components_of_nulls_repeats_and_nothing(spark):
     rows = [(3, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f"), (None, "other words"), (7, "x y")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -61,6 +96,50 @@ def test_components_of_a_chain_and_a_star(spark):
     assert got == {i: 1 for i in range(1, 41)} | {i: 100 for i in range(100, 160)}
 
 
+def test_search_retrieves_what_brute_force_does():
+    """BM25 with dictionaries, of every window with every segment."""
+    for seed, vocabulary, ranges in ((1, 30, 64), (2, 200, 3), (3, 8, 1), (4, 2000, 64)):
+        rng = random.Random(seed)
+        words = [f"w{int(rng.paretovariate(0.6)) % vocabulary}" for _ in range(4000)]
+        items = [(i, " ".join(words[j : j + n])) for i in range(80) for j, n in [(rng.randrange(3000), rng.choice([1, 2, 5, 16, 17, 40]))]]
+        index = BlockMaxIndex(items, ranges)
+        segments = [list(x) for _, text in items for x in np.array_split(np.array(text.split()), -(-len(text.split()) // 16))]
+        df = Counter(w for s in segments for w in set(s))
+        mean = sum(map(len, segments)) / len(segments)
+
+        def bm25(query, segment):
+            tf = Counter(segment)
+            return sum(math.log1p((len(segments) - df[w] + 0.5) / (df[w] + 0.5)) * tf[w] * 2.2 / (tf[w] + 1.2 * (0.25 + 0.75 * len(segment) / mean)) for w in query if w in tf)
+
+        texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(60))) for _ in range(30)] + [f"x {items[k][1]} {rng.choice(words)} y" for k in range(0, 80, 4)]
+        data, off = buffers(pa.array(texts))
+        starts, ends, at = word_spans(data, off, ALNUM_WORDS)
+        h = word_hashes(data, starts, ends, ALNUM_WORDS)
+        a = np.array([i for x, y in zip(at, at[1:]) for i in range(x, y, 5)])
+        b = np.array([min(i + 24, y) for x, y in zip(at, at[1:]) for i in range(x, y, 5)])
+        every = [w for t in texts for w in t.split()]
+        want = {}
+        for w, (i, j) in enumerate(zip(a, b)):
+            for s, segment in enumerate(segments):
+                share = bm25(set(every[i:j]), segment) / bm25(set(segment), segment)
+                if abs(share - 0.8) > 1e-3:
+                    want[w, s] = share if share > 0.8 else 0
+        got = {(w, s): share for w, s, share in index.search(h, a, b)}
+        assert len(got) == len(list(index.search(h, a, b)))
+        assert {k for k in got if k in want} == {k for k, v in want.items() if v} and any(want.values())
+        assert all(math.isclose(got[k], v, rel_tol=1e-4) for k, v in want.items() if v)
+
+
+def test_items_beyond_one_index(spark, monkeypatch):
+    rng = random.Random(5)
+    items = [(i, " ".join(f"w{rng.randrange(500)}" for _ in range(30))) for i in range(40)]
+    docs = spark.createDataFrame([(i, f"a b c {items[i][1]} d e f" if i < 40 else "a b c", "x") for i in range(60)], "doc_id long, text string, item_id string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "MAX_INDEX_BYTES", 1500)
+    assert sorted((r.doc_id, r.item_id) for r in matches(spark, docs, benchmark).collect()) == [(i, i) for i in range(40)]
+    assert sorted(r.doc_id for r in keep_clean(spark, docs, benchmark).collect()) == list(range(40, 60))
+
+
 def test_decontamination(spark):
     rng = random.Random(9)
     words = [f"w{i}" for i in range(300)]

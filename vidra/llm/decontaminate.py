@@ -1,18 +1,20 @@
 """Benchmark decontamination: every training passage queries a BM25 index of the test items.
 
 Items are cut into segments of ``SEGMENT`` words, so that a window of ``WINDOW`` words taken
-every ``STRIDE`` words holds any segment whole. The inverted index has, for each term, its BM25
-weight in each segment, and the segments lie in blocks with the largest weight of each term in
-each block. A passage's sum of block maxima bounds its score with every segment of the block;
-blocks that cannot reach the lowest threshold within them are passed over (block-max WAND), for
-a whole batch of passages at once by running sums; the segments of the others are scored, each
-distinct term of the passage once. A segment is retrieved from ``SHARE`` of its score with itself on.
+every ``STRIDE`` words holds any segment whole. The inverted index has, for each term, the
+segments that have it, in order, with the term's share of the segment's BM25 score with itself;
+a segment is retrieved by a window whose distinct terms reach ``SHARE`` of it. All that do are
+retrieved, by block-max WAND: a cursor on each term's postings, the pivot where the terms' largest
+shares first reach ``SHARE``, and blocks of ``BLOCK`` postings with their largest share and last
+segment, by which the cursors pass over what cannot reach it. The windows of a batch take these
+steps together, an array operation for each; before, running sums of the terms' largest shares in
+each of ``RANGES`` ranges of segments rule most windows out.
 
 Retrieved items are then verified against the words around the passage: an item whose text has
 several lines has its last line as answer and the rest as question, else it is all question.
 At least ``OVERLAP`` of the question's three-word shingles must occur there, and as many of the
-answer's. The index is sent to every executor in parts of at most ``MAX_INDEX_BYTES`` of item
-text; further parts are further passes.
+answer's. An index has at most ``MAX_INDEX_BYTES`` of item text; further ones are further passes,
+and the driver and the executors hold one at a time.
 
 Words are runs of ASCII letters and digits and anything beyond ASCII, A-Z lower-cased. Defined
 cases: null and empty items have no words and match nothing; items and parts shorter than three
@@ -30,15 +32,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vidra.llm.kernels import ALNUM_WORDS, buffers, ngram_hashes, parts, word_hashes, word_spans
-from vidra.llm.shared import ship, text_only
+from vidra.llm.shared import keep, ship, text_only
 
 SEGMENT, WINDOW, STRIDE = 16, 24, 8
 SHARE, OVERLAP = 0.8, 0.5
 K1, B = 1.2, 0.75
-MAX_BLOCKS = 64
+RANGES, BLOCK = 64, 8
 MAX_INDEX_BYTES = 16 << 20
-#: Cells up to which the postings are also laid out as a matrix of terms and segments.
-MAX_CELLS = 1 << 24
+#: Windows that search together.
+_TOGETHER = 4096
+#: More than what rounding adds up to.
+_SLACK = 1e-4
+_KEY = np.int64(1 << 32)
 
 
 def _hashes(text: bytes) -> np.ndarray:
@@ -54,7 +59,7 @@ def _shingles(h: np.ndarray) -> np.ndarray:
 class BlockMaxIndex:
     """Inverted index of item segments with block maxima."""
 
-    def __init__(self, items: list[tuple[int, str]], max_blocks: int = MAX_BLOCKS):
+    def __init__(self, items: list[tuple[int, str]], ranges: int = RANGES):
         self.item_ids, self.questions, self.answers, self.lengths = [], [], [], []
         segments: list[np.ndarray] = []
         self.item_of: list[int] = []
@@ -80,19 +85,22 @@ class BlockMaxIndex:
         size = np.array([len(s) for s in segments], float)
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[seg] / max(size.mean() if n else 1, 1)))
-        #: Postings of term t: at[t] to at[t + 1], by segment.
-        self.at, self.seg, self.weight = np.searchsorted(term, np.arange(len(self.terms) + 1)), seg, weight.astype(np.float32)
-        own = np.bincount(seg, weight, n)
-        self.least = (SHARE * own).astype(np.float32)
-        self.block = max(1, -(-n // max_blocks))
-        self.blocks = -(-n // self.block)
-        self.maxima = np.zeros((len(self.terms), self.blocks), np.float32)
-        np.maximum.at(self.maxima, (term, seg // self.block), self.weight)
-        self.block_least = np.array([self.least[i * self.block : (i + 1) * self.block].min() for i in range(self.blocks)], np.float32)
-        self.dense = None
-        if len(self.terms) * n <= MAX_CELLS:
-            self.dense = np.zeros((len(self.terms), n), np.float32)
-            self.dense[term, seg] = self.weight
+        #: Each segment's score with itself; postings have shares of it.
+        self.own = np.bincount(seg, weight, n)
+        share = (weight / self.own[seg]).astype(np.float32)
+        #: Postings of term t: at[t] to at[t + 1], by segment; keys are in order over all terms.
+        self.at, self.seg, self.share = np.searchsorted(term, np.arange(len(self.terms) + 1)), seg, share
+        self.keys = term * _KEY + seg
+        first = self.at[:-1]
+        self.most = np.maximum.reduceat(share, first) if n else np.zeros(0, np.float32)
+        block = (np.arange(len(seg)) - first[term]) // BLOCK if n else seg
+        begins = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
+        self.block_most = np.maximum.reduceat(share, begins) if n else share
+        self.block_last = self.keys[np.append(begins[1:], len(seg)) - 1] if n else self.keys
+        self.range = max(1, -(-n // ranges))
+        self.ranges = -(-n // self.range)
+        self.maxima = np.zeros((len(self.terms), self.ranges), np.float32)
+        np.maximum.at(self.maxima, (term, seg // self.range), share)
         # Looking up a word: the upper bits of its hash lead to where its term would stand.
         self.first = np.searchsorted(self.terms >> np.uint64(48), np.arange((1 << 16) + 1, dtype=np.uint64))
 
@@ -109,40 +117,74 @@ class BlockMaxIndex:
         return out
 
     def search(self, h: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int, float]]:
-        """(window, segment, score) of all windows [a, b) of words that reach a segment's threshold."""
-        if not self.blocks or not len(a):
+        """(window, segment, share) of all windows [a, b) of words that reach ``SHARE`` of a segment."""
+        if not self.ranges or not len(a):
             return
         term = self.term_of(h)
         known = np.flatnonzero(term >= 0)
         term = term[known]
         lo, hi = np.searchsorted(known, a), np.searchsorted(known, b)
-        step = max(1, (1 << 20) // self.blocks)
+        step = max(1, (1 << 20) // self.ranges)
         i = 0
         while i < len(a):
             # Windows are in order; as many of them as have about ``step`` known words.
             j = max(i + 1, int(np.searchsorted(hi, lo[i] + step, "right")))
             x, y = lo[i], hi[i:j].max()
-            run = np.zeros((y - x + 1, self.blocks), np.float64)
+            run = np.zeros((y - x + 1, self.ranges), np.float64)
             np.cumsum(self.maxima[term[x:y]], axis=0, out=run[1:])
-            bound = run[hi[i:j] - x] - run[lo[i:j] - x]
-            for w, block in zip(*np.nonzero(bound + 1e-3 >= self.block_least)):
-                yield from self._open(i + int(w), int(block), term[lo[i + w] : hi[i + w]])
+            bound = (run[hi[i:j] - x] - run[lo[i:j] - x]).max(axis=1)
+            able = i + np.flatnonzero(bound + _SLACK >= SHARE)
+            for k in range(0, len(able), _TOGETHER):
+                yield from self._wand(able[k : k + _TOGETHER], term, lo, hi)
             i = j
 
-    def _open(self, window: int, block: int, terms: np.ndarray) -> Iterator[tuple[int, int, float]]:
-        first = block * self.block
-        least = self.least[first : first + self.block]
-        terms = np.array(list(set(terms.tolist())), np.int64)
-        if self.dense is not None:
-            score = self.dense[terms, first : first + self.block].sum(axis=0)
-        else:
-            score = np.zeros(len(least), np.float64)
-            for k in terms[self.maxima[terms, block] > 0].tolist():
-                a, b = self.at[k], self.at[k + 1]
-                x, y = a + np.searchsorted(self.seg[a:b], [first, first + self.block])
-                score[self.seg[x:y] - first] += self.weight[x:y]
-        for s in np.flatnonzero(score + 1e-3 >= least).tolist():
-            yield window, first + s, float(score[s])
+    def _wand(self, windows: np.ndarray, term: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        """Block-max WAND of several windows at once; a row of cursors for each."""
+        width = int((hi[windows] - lo[windows]).max())
+        at = lo[windows][:, None] + np.arange(width)
+        none = len(self.terms)
+        t = np.sort(np.where(at < hi[windows][:, None], term[np.minimum(at, len(term) - 1)], none), axis=1)
+        t[:, 1:][t[:, 1:] == t[:, :-1]] = none
+        real = t < none
+        t = np.where(real, t, 0)
+        pos, end = np.where(real, self.at[t], 0), np.where(real, self.at[t + 1], 0)
+        most = np.where(real, self.most[t], 0)
+        rows = windows
+        far = np.int64(len(self.own))
+        while len(rows):
+            now = np.where(pos < end, self.seg[np.minimum(pos, len(self.seg) - 1)], far)
+            # Cursors in order of their segments; the pivot is where the largest shares reach the threshold.
+            order = np.argsort(now, axis=1, kind="stable")
+            ordered = np.take_along_axis(now, order, axis=1)
+            upto = np.cumsum(np.where(ordered < far, np.take_along_axis(most, order, axis=1), 0), axis=1)
+            reach = upto + _SLACK >= SHARE
+            alive = reach.any(axis=1)
+            if not alive.all():
+                pos, end, most, t, rows, now, ordered, reach = (x[alive] for x in (pos, end, most, t, rows, now, ordered, reach))
+                if not len(rows):
+                    return
+            pivot = np.take_along_axis(ordered, reach.argmax(axis=1)[:, None], axis=1)
+            before = now <= pivot
+            beyond = np.where(before, far, now).min(axis=1)
+            # The blocks in which these cursors' terms would have the pivot.
+            keys = t * _KEY + pivot
+            block = np.searchsorted(self.block_last, keys)
+            block = np.minimum(block, len(self.block_last) - 1)
+            inside = before & (self.block_last[block] >= keys) & (self.block_last[block] < (t + 1) * _KEY)
+            bound = np.where(inside, self.block_most[block], 0).sum(axis=1)
+            able = bound + _SLACK >= SHARE
+            ends = np.where(inside, self.block_last[block] - t * _KEY, far).min(axis=1) + 1
+            there = now == pivot
+            ready = able & (now.min(axis=1) == pivot[:, 0])
+            if ready.any():
+                share = np.where(there[ready], self.share[np.minimum(pos[ready], len(self.share) - 1)], 0).astype(np.float64).sum(axis=1)
+                for w, seg, score in zip(rows[ready].tolist(), pivot[ready, 0].tolist(), share.tolist()):
+                    if score + _SLACK >= SHARE:
+                        yield w, seg, score
+            # Scored: on to the next segment. Able, but cursors are behind: on to the pivot. Else: behind the first block that ends, or to the next cursor.
+            target = np.where(ready, pivot[:, 0] + 1, np.where(able, pivot[:, 0], np.maximum(np.minimum(ends, beyond), pivot[:, 0] + 1)))[:, None]
+            move = (now < target) & (now < far)
+            pos[move] = np.minimum(np.searchsorted(self.keys, (t * _KEY + target)[move]), end[move])
 
     def verified(self, item: int, h: np.ndarray, a: int, b: int) -> tuple[float, float] | None:
         """Shares of the question and of the answer found around the words [a, b), if both suffice."""
@@ -178,21 +220,19 @@ class BlockMaxIndex:
         return out
 
 
-def _indexes(spark: SparkSession, benchmark: DataFrame) -> list:
-    """Broadcast indexes of the items, each over at most about MAX_INDEX_BYTES of text."""
+def _indexes(spark: SparkSession, benchmark: DataFrame) -> Iterator[tuple]:
+    """(index, whether it is the last) of the items, one after another, each over at most about MAX_INDEX_BYTES of text."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     n = max(1, -(-size // MAX_INDEX_BYTES))
-    out = []
     for i in range(n):
         part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i)
         rows = sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
-        out.append(spark.sparkContext.broadcast(BlockMaxIndex(rows)))
-    return out
+        yield spark.sparkContext.broadcast(BlockMaxIndex(rows)), i == n - 1
 
 
 def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, score, question_overlap, answer_overlap and first_word of every verified pair."""
+    """doc_id, item_id, score, question_overlap, answer_overlap and first_word of every verified pair; the score is BM25 as a share of the segment's own."""
     ship(spark)
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
     names = [x.split()[0] for x in schema.split(", ")]
@@ -214,8 +254,11 @@ def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataF
         return text_only(docs).mapInArrow(run, schema)
 
     out = None
-    for index in _indexes(spark, benchmark):
+    for index, last in _indexes(spark, benchmark):
         part = one(index)
+        if not last:
+            part = keep(spark, part, "matches")
+            index.unpersist()
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -224,7 +267,7 @@ def keep_clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> Da
     """The rows of ``docs``, with all their columns, that match no item."""
     ship(spark)
     at = docs.columns.index("text")
-    for index in _indexes(spark, benchmark):
+    for index, last in _indexes(spark, benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             own = index.value
@@ -236,4 +279,7 @@ def keep_clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> Da
                     yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if not last:
+            docs = keep(spark, docs, "clean")
+            index.unpersist()
     return docs
