@@ -6,7 +6,6 @@ read again as the next stage's docs. All but the last return the columns of docu
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,21 +19,31 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that fail the base rules or leave their language's perplexity band go."""
+    """Rows that fail the base rules or leave their language's perplexity band go.
+
+    Null and empty texts have no words and so go; a null language has a band of its own; equal
+    rows stay or go alike, whatever their ids.
+    """
     return perplexity.keep_good(spark, docs.select(*COLUMNS))
 
 
 def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; so do documents that are left without a word, and n_chars follows the text."""
-    left = line_dedup.dedup(spark, docs.select(*COLUMNS))
-    left = left.filter(F.coalesce(F.col("_exact") + F.col("_near") < F.col("_lines"), F.lit(True)) | (F.col("_lines") == 0))
-    changed = (F.col("_exact") + F.col("_near")) > 0
-    return left.select(*(F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in COLUMNS))
+    """Repeated lines go; so do documents that are left without a word, and n_chars follows the text.
+
+    Null and empty texts, which have no lines, stay; rows that repeat an id and a text stay alike;
+    null ids come last in the order that says which occurrence of a line is the first.
+    """
+    left = line_dedup.dedup(spark, docs.select(*COLUMNS)).filter("n_exact + n_near < n_lines or n_lines = 0")
+    n_chars = F.when(F.col("n_exact") + F.col("n_near") > 0, F.char_length("doc.text")).otherwise(F.col("doc.n_chars")).cast("long")
+    return left.select(*(n_chars.alias(c) if c == "n_chars" else F.col("doc")[c].alias(c) for c in COLUMNS))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates stays: one with the smallest id; null ids come last."""
-    # Ids can be null or repeated, so rows are told apart by a key that is written once.
+    """One row of each group of near duplicates stays: one with the smallest id; null ids come last.
+
+    Null and empty texts, which are near to nothing, stay. Ids can be null or repeated, so rows are
+    told apart by a key that is written once.
+    """
     docs = keep(spark, docs.select(*COLUMNS).withColumn("_key", F.monotonically_increasing_id()), "keyed")
     found = keep(spark, ngram_jaccard.components(spark, docs.select(F.col("_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_group")), "near-copies")
     place = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("id"), "_key")
@@ -53,7 +62,9 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, digests and token ids of what is left."""
+    """doc_id, n_tokens, digests and token ids of what is left; null and empty texts have no ids."""
+    import public_tokenizers
+
     return bpe.encode(spark, docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 

@@ -1,6 +1,7 @@
 import random
 
-from vidra.llm.line_dedup import NEAR_FROM, report
+from vidra.llm import line_dedup
+from vidra.llm.line_dedup import ALIKE, report
 
 
 def within_one(a, b):
@@ -22,7 +23,7 @@ def brute(rows):
         left = []
         for line in text.split("\n"):
             if line.strip():
-                drop = any(line == x or (min(len(line), len(x)) >= NEAR_FROM and within_one(line, x)) for x in seen)
+                drop = any(line == x or (min(len(line), len(x)) >= ALIKE and within_one(line, x)) for x in seen)
                 seen.append(line)
                 if drop:
                     continue
@@ -33,7 +34,7 @@ def brute(rows):
 
 def test_against_brute_force(spark):
     rng = random.Random(11)
-    base = ["".join(rng.choice("abé d😀") for _ in range(n)) for n in (5, 19, 20, 21, 31, 32, 33, 48, 64, 90) for _ in range(2)]
+    base = ["".join(rng.choice("abé d😀") for _ in range(n)) for n in (3, 9, 10, 11, 12, 20, 31, 32, 33, 48, 64, 90) for _ in range(2)]
 
     def edit(s):
         for _ in range(rng.choice([0, 1, 1, 1, 2])):
@@ -59,3 +60,14 @@ def test_repeated_rows_nulls_and_no_rows(spark):
     line = rows[0][1]
     assert got == [(1, line, 1, 0, 0), (1, line, 1, 0, 0), (2, "", 1, 1, 0), (3, "a\nb", 3, 1, 0), (99, "kept", 2, 0, 1)]
     assert report(spark, docs.limit(0)).count() == 0
+
+
+def test_common_lines_and_columns_of_any_name(spark, monkeypatch):
+    rng = random.Random(12)
+    lines = ["a common line of some length", "a common line of some lengths", *(f"line number {i} {rng.random()}" for i in range(30))]
+    rows = [(i, "\n".join(rng.choice(lines[:2] if rng.random() < 0.6 else lines) for _ in range(8))) for i in range(60)]
+    docs = spark.createDataFrame([(i, t, i, "x", 1.5, t) for i, t in rows], "doc_id long, text string, row long, gone string, near double, `n_lines` string")
+    monkeypatch.setattr(line_dedup, "COMMON", 20)
+    got = line_dedup.dedup(spark, docs).select("doc.*").collect()
+    want = brute(rows)
+    assert {r.doc_id: (r.text, r.row, r.gone, r.near, r.n_lines) for r in got} == {i: (want[i, t], i, "x", 1.5, t) for i, t in rows}

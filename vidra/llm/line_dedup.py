@@ -1,9 +1,9 @@
 """Line dedup by a deletion-neighbourhood join, within one edit.
 
-An occurrence of a line is dropped if the same line, or one within a single edit (a code point
-inserted, deleted or replaced), occurs earlier; earlier is by (doc_id, line number). Lines
-without a word are always kept, and lines shorter than ``NEAR_FROM`` code points only fall to
-equal ones.
+An occurrence of a line is dropped if the same line, or a near one, occurs earlier; earlier is by
+(doc_id, line number). Near are lines within a single edit (a code point inserted, deleted or
+replaced) that is at most one code point in ``ALIKE`` of either, so that lines of less than
+``ALIKE`` code points have no near ones. Lines without a word are always kept.
 
 Emitting every deletion of every line would multiply the corpus, so the neighbourhood is
 narrowed first, without loss: two lines within one edit, the longer of m code points, agree in
@@ -18,13 +18,16 @@ with every variant of the segment that lacks one code point:
 
 Equal keys are reduced to their earliest line before anything is joined back, so a key that any
 share of the lines has costs one row a task. Each line meets the earliest of its keys, the edit
-distance is verified on the texts, and the earliest verified neighbour decides.
+distance is verified on the texts, and the earliest verified neighbour decides. Occurrences are
+marked by a join on the line; lines that have more than a share of 1 / ``COMMON`` of all
+occurrences, of which there are fewer than ``COMMON``, are sent to every executor for that, so no
+task gets all occurrences of one line.
 
 Defined cases: a null text has no lines and stays null; text without a newline is one line; of
 equal lines in one document the first stays; rows that repeat an id and a text get equal results
 (both keep what the first keeps), rows that repeat an id with another text are kept apart; null
 ids come last; very long lines emit rows in proportion to their length; a table without rows
-gives none; other columns are passed on.
+gives none; other columns, of any name, are passed on.
 """
 
 from __future__ import annotations
@@ -33,17 +36,17 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vidra.llm.shared import count_upto, keep, ship
+from vidra.llm.shared import Kept, count_upto, ship, tidy
 
-NEAR_FROM, SEGMENT = 20, 16
+ALIKE, SEGMENT, COMMON = 10, 16, 100_000
 #: Line hashes sent to every executor; beyond it, a shuffle.
 MAX_BROADCAST_LINES = 500_000
 _LAST = 2**63 - 1
-#: Lines a task remembers to emit keys once for each.
-_REMEMBERED = 1 << 20
+#: A character that is no white space.
+_WORD = r"[^\x20\x09-\x0D\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
 def _h(*parts: str | int) -> int:
@@ -53,10 +56,14 @@ def _h(*parts: str | int) -> int:
     return x.intdigest() - (1 << 63)
 
 
-def halves(line: str) -> list[int]:
+def _halves(line: str) -> Column:
     """Keys of the first and last halves, for partners of up to the same length and for longer ones."""
-    n = len(line)
-    return [_h(k, m, line[: m // 2] if k == 0 else line[n - m // 2 :]) for m in (n, n + 1) for k in (0, 1)]
+    n = F.char_length(line)
+    out = []
+    for m in (n, n + 1):
+        size = F.floor(m / 2).cast("int")
+        out += [F.xxhash64(F.lit(0), m, F.substring(line, F.lit(1), size)), F.xxhash64(F.lit(1), m, F.substring(line, n - size + 1, size))]
+    return F.array(*out)
 
 
 def _segments(line: str) -> Iterator[tuple[int, int, int, int]]:
@@ -91,58 +98,14 @@ def variants(line: str, shared: set[int] | None = None) -> Iterator[tuple[int, i
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, row (a hash of the text), line_no, h, keys (once a task for each line that can have near ones)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                ids, rows, numbers, hashes, keys = [], [], [], [], []
-                part = batch.slice(a, 256)
-                for doc, row, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)):
-                    text = text.as_py()
-                    if text is None:
-                        continue
-                    for i, line in enumerate(text.split("\n")):
-                        if not line.strip():
-                            continue
-                        h = _h(line)
-                        ids.append(doc)
-                        rows.append(row)
-                        numbers.append(i)
-                        hashes.append(h)
-                        if len(line) >= NEAR_FROM - 1 and h not in seen:
-                            if len(seen) >= _REMEMBERED:
-                                seen.clear()
-                            seen.add(h)
-                            keys.append(halves(line))
-                        else:
-                            keys.append(None)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(numbers, pa.int32()), pa.array(hashes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "row", "line_no", "h", "keys"])
-
-    return docs.select("doc_id", "row", "text").mapInArrow(run, "doc_id long, row long, line_no int, h long, keys array<long>")
+    """doc_id, row, line_no and line of the lines with a word of (doc_id, row, text)."""
+    return docs.select("doc_id", "row", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).filter(F.col("line").rlike(_WORD))
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(h, line) of the wanted lines."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                hashes, lines = [], []
-                for text in batch.column(0).slice(a, 256):
-                    for line in (text.as_py() or "").split("\n"):
-                        if len(line) >= NEAR_FROM - 1 and (h := _h(line)) not in seen:
-                            if len(seen) >= _REMEMBERED:
-                                seen.clear()
-                            seen.add(h)
-                            hashes.append(h)
-                            lines.append(line)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(lines, pa.string())], ["h", "line"])
-
     small = count_upto(wanted, MAX_BROADCAST_LINES) <= MAX_BROADCAST_LINES
-    found = docs.select("text").mapInArrow(run, "h long, line string").join(F.broadcast(wanted) if small else wanted, "h", "left_semi")
+    found = _lines(docs).select(F.xxhash64("line").alias("h"), "line").join(F.broadcast(wanted) if small else wanted, "h", "left_semi")
     return found.groupBy("h").agg(F.first("line").alias("line"))
 
 
@@ -171,51 +134,62 @@ def _variants(lines: DataFrame) -> DataFrame:
     return lines.select("h", "line", "doc_id", "line_no", "shared").mapInArrow(run, "key long, role byte, h long, doc_id long, line_no int")
 
 
-def earlier(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(doc_id, row, line_no, near) of the occurrences that go, of documents (doc_id, row, text); near: not for an equal line."""
+def earlier(spark: SparkSession, docs: DataFrame) -> Kept:
+    """(doc_id, row, gone, near): the numbers of the lines that go, of documents (doc_id, row, text), and how many of them not for an equal line."""
     ship(spark)
-    lines = keep(spark, _lines(docs), "lines")
-    first = lines.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"))
-    half = lines.filter("keys is not null").select("h", F.explode("keys").alias("key"))
+    long = F.char_length("line") >= ALIKE - 1
+    lines = Kept(spark, _lines(docs).select("doc_id", "row", "line_no", F.xxhash64("line").alias("h"), F.when(long, _halves("line")).alias("keys")), "lines")
+    first = Kept(spark, lines.df.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")), "first-lines")
+    half = lines.df.filter("keys is not null").select("h", F.explode("keys").alias("key"))
     common = half.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo < hi").select("key")
-    near_able = keep(spark, half.join(common, "key", "left_semi").select("h").distinct(), "near-able")
-    place = first.join(near_able, "h", "left_semi").select("h", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
-    texts = keep(spark, _texts(docs, near_able).join(place, "h"), "line-texts")
-    around = keep(spark, _surrounded(texts), "surroundings")
-    agree = around.groupBy("around").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo < hi").select("around")
-    shared = around.join(agree, "around", "left_semi").groupBy("h").agg(F.collect_set("around").alias("shared"))
-    keyed = keep(spark, _variants(texts.join(shared, "h")), "variants")
+    near_able = Kept(spark, half.join(common, "key", "left_semi").select("h").distinct(), "near-able")
+    place = first.df.join(near_able.df, "h", "left_semi").select("h", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
+    texts = Kept(spark, _texts(docs, near_able.df).join(place, "h"), "line-texts")
+    around = Kept(spark, _surrounded(texts.df), "surroundings")
+    agree = around.df.groupBy("around").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo < hi").select("around")
+    shared = around.df.join(agree, "around", "left_semi").groupBy("h").agg(F.collect_set("around").alias("shared"))
+    keyed = Kept(spark, _variants(texts.df.join(shared, "h")), "variants")
     own = F.struct("doc_id", "line_no", "h")
-    least = keyed.groupBy("key").agg(*(F.min(F.when(F.col("role") == i, own)).alias(f"m{i}") for i in range(3)), F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo < hi")
+    least = keyed.df.groupBy("key").agg(*(F.min(F.when(F.col("role") == i, own)).alias(f"m{i}") for i in range(3)), F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo < hi")
     met = F.when(F.col("role") == 0, F.col("m0")).when(F.col("role") == 1, F.col("m2")).otherwise(F.col("m1"))
-    pairs = keyed.join(least, "key").withColumn("met", met).filter((F.col("met") < own)).select("h", "met.h", F.col("met")).toDF("h", "other", "met").distinct()
-    pairs = pairs.join(texts.select("h", "line"), "h").join(texts.select(F.col("h").alias("other"), F.col("line").alias("other_line")), "other")
-    long = (F.length("line") >= NEAR_FROM) & (F.length("other_line") >= NEAR_FROM)
-    near = keep(spark, pairs.filter(long & (F.levenshtein("line", "other_line", 1) >= 0)).select("h").distinct(), "near")
-    gone = first.join(near.withColumn("near", F.lit(True)), "h", "left").filter("n > 1 or near").select("h", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    found = lines.select("doc_id", "row", "line_no", "h").join(gone, "h")
-    return found.filter(F.col("near") | (F.struct("doc_id", "line_no") > F.col("first"))).select("doc_id", "row", "line_no", (F.struct("doc_id", "line_no") == F.col("first")).alias("near"))
+    pairs = keyed.df.join(least, "key").withColumn("met", met).filter((F.col("met") < own)).select("h", "met.h", F.col("met")).toDF("h", "other", "met").distinct()
+    pairs = pairs.join(texts.df.select("h", "line"), "h").join(texts.df.select(F.col("h").alias("other"), F.col("line").alias("other_line")), "other")
+    alike = (F.char_length("line") >= ALIKE) & (F.char_length("other_line") >= ALIKE)
+    near = pairs.filter(alike & (F.levenshtein("line", "other_line", 1) >= 0)).select("h").distinct()
+    gone = Kept(spark, first.df.join(near.withColumn("near", F.lit(True)), "h", "left").filter("n > 1 or near").select("h", "n", "first", F.coalesce("near", F.lit(False)).alias("near")), "lines-again")
+    # Fewer than COMMON lines can have so many of the occurrences.
+    total = lines.df.count()
+    often = gone.df.filter(F.col("n") * COMMON > total).select("h", "first", "near")
+    places = lines.df.select("doc_id", "row", "line_no", "h").join(F.broadcast(often), "h", "left")
+    rest = places.filter("first is null").drop("first", "near").join(gone.df.filter(F.col("n") * COMMON <= total).select("h", "first", "near"), "h")
+    found = places.filter("first is not null").unionByName(rest).filter(F.col("near") | (F.struct("doc_id", "line_no") > F.col("first")))
+    marked = found.select("doc_id", "row", "line_no", (F.struct("doc_id", "line_no") == F.col("first")).alias("near"))
+    out = marked.groupBy("doc_id", "row").agg(F.collect_set("line_no").alias("gone"), F.count_distinct(F.when(F.col("near"), F.col("line_no"))).alias("near"))
+    done = Kept(spark, out, "gone")
+    for x in (lines, first, near_able, texts, around, keyed, gone):
+        x.drop()
+    return done
 
 
 def dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` with the text left after the removal, and _lines, _exact and _near, the numbers of lines with a word and of those removed."""
-    rows = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "_row": F.xxhash64(F.col("text").cast("string"))})
-    plain = rows.select(F.col("_id").alias("doc_id"), F.col("_row").alias("row"), F.col("text").cast("string").alias("text"))
-    gone = earlier(spark, plain).groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row"))
-    gone = gone.agg(F.collect_set("line_no").alias("_gone"), F.count_distinct(F.when(F.col("near"), F.col("line_no"))).alias("_near"))
-    every = F.split(F.col("text").cast("string"), "\n", -1)
-    flagged = F.transform(every, lambda x, i: F.struct(x.alias("x"), F.array_contains("_gone", i).alias("out")))
-    left = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(F.filter(flagged, lambda s: ~s["out"]), lambda s: s["x"]), "\n"))
-    with_words = F.size(F.filter(every, lambda x: x.rlike(r"[^\x20\x09-\x0D\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")))
-    out = rows.join(gone, ["_id", "_row"], "left")
-    return out.select(
-        *(left.alias("text") if c == "text" else F.col(c) for c in docs.columns),
-        F.when(F.col("text").isNull(), 0).otherwise(with_words).cast("long").alias("_lines"),
-        F.coalesce(F.size("_gone") - F.col("_near"), F.lit(0)).cast("long").alias("_exact"),
-        F.coalesce(F.col("_near"), F.lit(0)).cast("long").alias("_near"),
+    """(doc, n_lines, n_exact, n_near): all columns of ``docs`` with the text that is left, and the numbers of lines with a word and of those removed."""
+    text = F.col("text").cast("string")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
+    found = earlier(spark, rows.select("doc_id", "row", "text"))
+    tidy(spark)
+    gone = found.df if count_upto(found.df, MAX_BROADCAST_LINES // 10) > MAX_BROADCAST_LINES // 10 else F.broadcast(found.df)
+    every = F.split("text", "\n", -1)
+    flagged = F.transform(every, lambda x, i: F.struct(x.alias("x"), F.array_contains("gone", i).alias("out")))
+    left = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(F.filter(flagged, lambda s: ~s["out"]), lambda s: s["x"]), "\n"))
+    with_words = F.size(F.filter(every, lambda x: x.rlike(_WORD)))
+    return rows.join(gone, ["doc_id", "row"], "left").select(
+        F.struct(*(left.alias(c) if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns)).alias("doc"),
+        F.when(F.col("text").isNull(), 0).otherwise(with_words).cast("long").alias("n_lines"),
+        F.coalesce(F.size("gone") - F.col("near"), F.lit(0)).cast("long").alias("n_exact"),
+        F.coalesce(F.col("near"), F.lit(0)).cast("long").alias("n_near"),
     )
 
 
 def report(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_exact, n_near and the text that is left, of every row."""
-    return dedup(spark, docs.select("doc_id", "text")).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_lines").alias("n_lines"), F.col("_exact").alias("n_exact"), F.col("_near").alias("n_near"), "text")
+    return dedup(spark, docs.select("doc_id", "text")).select(F.col("doc.doc_id").cast("long").alias("doc_id"), "n_lines", "n_exact", "n_near", "doc.text")
