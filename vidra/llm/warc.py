@@ -1,15 +1,18 @@
 """WARC files as a Spark data source (format ``vidra_warc``), written and read in parallel.
 
 Writing gives each task its own file, one gzip member a record; the member's header carries
-the ``sl`` skip length, so a reader can pass over a record without inflating it. The commit
-writes a manifest of the files of the tasks that succeeded, with offsets to split at, so
-files left by a lost or repeated task are never read.
-
-Reading plans partitions of at most ``partitionBytes`` from the manifest (or from the files
-found, each whole, if there is none). Every record's header block is parsed first; records
-that fail the pushed predicates (``record_type``, ``page_id``, ``target_uri``, ``refers_to``)
-are skipped, and a payload is only inflated if the ``payload`` option asks for it:
-``none``, ``digest`` (SHA-256 and length, checked against the header) or ``bytes``.
+the ``sl`` skip length, so a reader can pass over a record without inflating it. Each commit
+writes a manifest of its own with the files of the tasks that succeeded and offsets to split at,
+so files left by a lost or repeated task are never read; an append adds to what is there, an
+overwrite takes the place of it once it is complete.
+
+Reading plans partitions of at most ``partitionBytes`` from the manifests (or from the files
+found, each whole, if there is none). Every record's header block is inflated and parsed first;
+records that fail the pushed predicates (``record_type``, ``page_id``, ``target_uri``,
+``refers_to``) are passed over by their skip length, unread, and a payload is only inflated if the
+``payload`` option asks for it: ``none``, ``digest`` (SHA-256 and length, checked against the
+header) or ``bytes``. Gzip members without a skip length have to be inflated to find their ends;
+what is not wanted is not kept.
 
 Defined cases: a null payload is an empty one; a null url or id has no header line and is
 read back as null; equal rows give equal records; an empty table gives a manifest without
@@ -36,11 +39,12 @@ from vidra.llm.shared import count_upto, keep, new_path, ship
 
 SCHEMA = "record_id string, record_type string, page_id long, target_uri string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 WRITE = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-MANIFEST = "_manifest.json"
+#: Manifests are named by the commit.
+MANIFEST = "_manifest-"
 #: Payloads shorter than this are always written in full.
 MIN_REVISIT_BYTES = 100
 #: Most groups of equal payloads that are sent to every executor; beyond it they are joined by a shuffle.
-MAX_BROADCAST_GROUPS = 100_000
+MAX_BROADCAST_GROUPS = 300_000
 _HEAD = 10 + 2 + 12
 
 
@@ -77,10 +81,22 @@ class _Wrote(WriterCommitMessage):
     files: list
 
 
+def _manifests(filesystem: pafs.FileSystem, base: str) -> list[str]:
+    if filesystem.get_file_info(base).type != pafs.FileType.Directory:
+        return []
+    return sorted(x.path for x in filesystem.get_file_info(pafs.FileSelector(base)) if x.base_name.startswith(MANIFEST) and x.base_name.endswith(".json"))
+
+
+def _files(filesystem: pafs.FileSystem, manifest: str) -> list:
+    with filesystem.open_input_stream(manifest) as f:
+        return json.loads(f.read())
+
+
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, options: dict):
+    def __init__(self, options: dict, overwrite: bool = False):
+        self.overwrite = overwrite
         self.path, self.level = options["path"].rstrip("/"), int(options.get("level", 6))
-        self.most, self.step = int(options.get("fileBytes", 256 << 20)), int(options.get("splitBytes", 8 << 20))
+        self.most, self.step = int(options.get("filebytes", 256 << 20)), int(options.get("splitbytes", 8 << 20))
 
     def write(self, iterator) -> _Wrote:
         filesystem, base = _open_fs(self.path)
@@ -110,8 +126,16 @@ class _Writer(DataSourceArrowWriter):
     def commit(self, messages: list) -> None:
         filesystem, base = _open_fs(self.path)
         filesystem.create_dir(base, recursive=True)
-        with filesystem.open_output_stream(f"{base}/{MANIFEST}") as f:
+        before = _manifests(filesystem, base) if self.overwrite else []
+        name = f"{base}/{MANIFEST}{uuid.uuid4().hex}"
+        with filesystem.open_output_stream(f"{name}.tmp") as f:
             f.write(json.dumps([x for m in messages if m is not None for x in m.files]).encode())
+        filesystem.move(f"{name}.tmp", f"{name}.json")
+        for old in before:
+            files = _files(filesystem, old)
+            filesystem.delete_file(old)
+            for x in files:
+                filesystem.delete_file(f"{base}/{x[0]}")
 
     def abort(self, messages: list) -> None:
         filesystem, base = _open_fs(self.path)
@@ -142,7 +166,7 @@ def _number(text: str | None) -> int | None:
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.want = options["path"].rstrip("/"), options.get("payload", "digest")
-        self.most = int(options.get("partitionbytes", options.get("partitionBytes", 16 << 20)))
+        self.most = int(options.get("partitionbytes", 16 << 20))
         self.tests: list[tuple[str, list]] = []
         if self.want not in ("none", "digest", "bytes"):
             raise ValueError(f"payload must be none, digest or bytes, not {self.want!r}")
@@ -157,9 +181,9 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list:
         filesystem, base = _open_fs(self.path)
-        if filesystem.get_file_info(f"{base}/{MANIFEST}").type == pafs.FileType.File:
-            with filesystem.open_input_stream(f"{base}/{MANIFEST}") as f:
-                files = json.loads(f.read())
+        manifests = _manifests(filesystem, base)
+        if manifests:
+            files = [x for m in manifests for x in _files(filesystem, m)]
         else:
             found = filesystem.get_file_info(pafs.FileSelector(base, recursive=True)) if filesystem.get_file_info(base).type == pafs.FileType.Directory else [filesystem.get_file_info(base)]
             if not found or found[0].type == pafs.FileType.NotFound:
@@ -207,25 +231,27 @@ class _Reader(DataSourceReader):
             raw.seek(at)
             if start[:2] == b"\x1f\x8b":
                 if len(start) >= _HEAD and start[3] & 4 and start[12:14] == b"sl":
-                    size = struct.unpack("<I", start[16:20])[0]
-                    data = raw.read(size)
-                    at += size
-                    step = zlib.decompressobj(-15)
-                    block = step.decompress(data[_HEAD:], 2048)
-                    fields, end = headers_of(block)
-                    while end < 0 and not step.eof and step.unconsumed_tail:
-                        block += step.decompress(step.unconsumed_tail, 65536)
+                    end_of_member = at + struct.unpack("<I", start[16:20])[0]
+                    raw.seek(at + _HEAD)
+                    step, block, end, fields = zlib.decompressobj(-15), b"", -1, {}
+                    while end < 0 and not step.eof and raw.tell() < end_of_member:
+                        block += step.decompress(raw.read(min(1024, end_of_member - raw.tell())))
                         fields, end = headers_of(block)
                     if end >= 0 and self._wanted(fields):
-                        yield self._row(fields, lambda: block[end:] + step.decompress(step.unconsumed_tail) + step.flush())
+                        yield self._row(fields, lambda: block[end:] + step.decompress(raw.read(end_of_member - raw.tell())) + step.flush())
+                    at = end_of_member
                     continue
-                data, step = bytearray(), zlib.decompressobj(31)
+                step, block, end, fields, wanted = zlib.decompressobj(31), bytearray(), -1, {}, True
                 while not step.eof and (piece := raw.read(1 << 16)):
-                    data += step.decompress(piece)
+                    more = step.decompress(piece)
+                    if wanted:
+                        block += more
+                    if end < 0:
+                        fields, end = headers_of(bytes(block))
+                        wanted = end < 0 or self._wanted(fields)
                 at = raw.tell() - len(step.unused_data)
-                fields, end = headers_of(bytes(data))
-                if end >= 0 and self._wanted(fields):
-                    yield self._row(fields, lambda: bytes(data[end:]))
+                if end >= 0 and wanted:
+                    yield self._row(fields, lambda: bytes(block[end:]))
                 continue
             block = b""
             while (line := raw.readline()) not in (b"\r\n", b"\n", b""):
@@ -268,10 +294,10 @@ class WarcSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> _Reader:
-        return _Reader(dict(self.options))
+        return _Reader({k.lower(): v for k, v in self.options.items()})
 
     def writer(self, schema, overwrite) -> _Writer:
-        return _Writer(dict(self.options))
+        return _Writer({k.lower(): v for k, v in self.options.items()}, overwrite)
 
 
 def pages_to_records(spark: SparkSession, pages: DataFrame) -> DataFrame:
@@ -287,32 +313,36 @@ def pages_to_records(spark: SparkSession, pages: DataFrame) -> DataFrame:
         F.col("url").cast("string").alias("url"),
         F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"),
     ).withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
-    groups = base.filter(F.col("payload_bytes") >= MIN_REVISIT_BYTES).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    repeatable = F.col("payload_bytes") >= MIN_REVISIT_BYTES
+    groups = base.filter(repeatable).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
     groups = keep(spark, groups.filter("n > 1 and first_id is not null").select("payload_digest", "first_id"), "payload-groups")
     if count_upto(groups, MAX_BROADCAST_GROUPS) <= MAX_BROADCAST_GROUPS:
-        groups = F.broadcast(groups)
+        base = base.join(F.broadcast(groups), "payload_digest", "left")
+    else:
+        # Short payloads, among them all the empty ones, need no group and are not moved.
+        base = base.filter(repeatable).join(groups, "payload_digest", "left").unionByName(base.filter(~repeatable).withColumn("first_id", F.lit(None).cast("long")))
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return base.join(groups, "payload_digest", "left").select(
+    return base.select(
         "page_id", "url", "payload", "payload_bytes", "payload_digest",
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         F.when(revisit, F.col("first_id")).alias("refers_to"),
     )
 
 
-def write_warc(spark: SparkSession, records: DataFrame, path: str) -> None:
-    """Write rows of ``WRITE`` as WARC files with a manifest."""
+def write_warc(spark: SparkSession, records: DataFrame, path: str, mode: str = "append", **options) -> None:
+    """Write rows of ``WRITE`` as WARC files with a manifest; ``mode`` is append or overwrite."""
     ship(spark)
     spark.dataSource.register(WarcSource)
-    records.select(*WRITE).write.format("vidra_warc").mode("append").save(path)
+    records.select(*WRITE).write.format("vidra_warc").options(**options).mode(mode).save(path)
 
 
-def read_warc(spark: SparkSession, path: str, payload: str = "digest") -> DataFrame:
+def read_warc(spark: SparkSession, path: str, payload: str = "digest", **options) -> DataFrame:
     """The records below ``path``; filters on header columns are pushed into the reader."""
     ship(spark)
     spark.dataSource.register(WarcSource)
     if spark.conf.get("spark.sql.python.filterPushdown.enabled", "false") != "true":
         spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    return spark.read.format("vidra_warc").option("payload", payload).load(path)
+    return spark.read.format("vidra_warc").option("payload", payload).options(**options).load(path)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
