@@ -30,6 +30,77 @@ def test_language_ids(spark):
     assert {r.lang_pred for r in langid.predict(spark, docs.filter("lang is null")).collect()} == {"und"}
 
 
+def plain_probabilities(net, raw):
+    """The network by loops: the mean over the windows of the softmax of the pooled filters."""
+    found = []
+    for a in range(0, len(raw), langid.WINDOW):
+        window = raw[a : a + langid.WINDOW].ljust(langid.WINDOW, b"\0")
+        hidden = []
+        for table, bias in zip(net.tables, net.bias):
+            for f in range(table.shape[2]):
+                best = max(sum(float(table[j, window[p + j], f]) for j in range(len(table))) for p in range(len(window) - len(table) + 1))
+                hidden.append(max(best + float(bias[f]), 0.0))
+        z = [sum(h * float(net.out[i, c]) for i, h in enumerate(hidden)) + float(net.out_bias[c]) for c in range(len(net.labels))]
+        e = [math.exp(v - max(z)) for v in z]
+        found.append([v / sum(e) for v in e])
+    return [sum(c) / len(found) for c in zip(*found)]
+
+
+def test_predictions_against_loops(spark, monkeypatch):
+    rng = random.Random(31)
+    langs = ["aa", "bb", "cc"]
+    words = {c: ["".join(rng.choice(s) for _ in range(5)) for _ in range(30)] for c, s in zip(langs, ("abcde", "defgh", "aghij"))}
+    rows = [(i, " ".join(rng.choice(words[langs[i % 3]]) for _ in range(rng.randrange(1, 90))), langs[i % 3]) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = langid.train(*langid.sample(docs))
+    got = {r.doc_id: r for r in langid.predict(spark, docs).collect()}
+    for i, text, _ in rows[:12]:
+        p = plain_probabilities(net, text.encode())
+        assert got[i].lang_pred == net.labels[p.index(max(p))] and math.isclose(got[i].score, max(p), rel_tol=1e-4)
+
+
+def test_gradients_by_differences():
+    rng = np.random.default_rng(5)
+    net = langid.Network(["a", "b", "c"], [rng.normal(0, 0.5, (w, 256, 2)) for w in (2, 3)], [rng.normal(0, 0.1, 2) for _ in range(2)], rng.normal(0, 0.5, (4, 3)), rng.normal(0, 0.1, 3))
+    windows, y = rng.integers(97, 103, (5, 20)).astype(np.uint8), np.array([0, 1, 2, 1, 0])
+    loss = lambda: -np.log(net.probabilities(windows)[np.arange(5), y]).mean()
+    for w, g in zip([*net.tables, *net.bias, net.out, net.out_bias], langid.gradients(net, windows, y)):
+        for at in {tuple(rng.integers(0, n) for n in w.shape) for _ in range(10)} | {tuple(np.unravel_index(np.abs(g).argmax(), g.shape))}:
+            before, step = w[at], 1e-6
+            w[at] = before + step
+            up = loss()
+            w[at] = before - step
+            down = loss()
+            w[at] = before
+            assert math.isclose((up - down) / (2 * step), g[at], rel_tol=1e-4, abs_tol=1e-6)
+    x = quality_fm.features(*buffers(pa.array(["a b a c\nd", "e f", "b b"])))
+    m = quality_fm.Machine(0.2, rng.normal(size=quality_fm.WIDTH), rng.normal(size=(quality_fm.WIDTH, 4)) * 0.3)
+    y = np.array([1.0, 0.0, 1.0])
+    loss = lambda: -(y * np.log(m.score(x)) + (1 - y) * np.log(1 - m.score(x))).mean()
+    base, index, linear, factors = quality_fm.gradients(m, x, y)
+    for k, i in list(enumerate(index))[::7]:
+        for w, at, g in ((m.linear, i, linear[k]), (m.factors, (i, 1), factors[k, 1])):
+            before, step = w[at], 1e-5
+            w[at] = before + step
+            up = loss()
+            w[at] = before - step
+            down = loss()
+            w[at] = before
+            assert math.isclose((up - down) / (2 * step), g, rel_tol=1e-3, abs_tol=1e-6)
+
+
+def test_more_languages_than_rows_of_the_sample(spark, monkeypatch):
+    """Every language is learnt from, however many there are."""
+    rng = random.Random(32)
+    langs = [f"l{i}" for i in range(30)]
+    rows = [(i, " ".join(chr(0x4E00 + 20 * (i % 30) + rng.randrange(20)) * 3 for _ in range(20)), langs[i % 30]) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts, labels = langid.sample(docs, 10, 4)
+    assert set(labels) == set(langs) and 60 <= len(texts) <= 240
+    got = langid.predict(spark, docs).collect()
+    assert sum(r.lang_pred == langs[r.doc_id % 30] for r in got) > 0.95 * len(got)
+
+
 def test_quality_scores(spark):
     rng = random.Random(2)
     docs = [(i, prose(rng, "aa") if i % 3 else prose(rng, "bb").replace(" ", "%% "), "x") for i in range(400)] + [(901, None, "x"), (902, "", "x"), (None, "a", "x")]

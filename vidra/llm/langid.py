@@ -4,8 +4,9 @@ One-hot bytes, filters of several widths, max pooling over the window, softmax.
 into windows of a fixed number of bytes, the last one padded with zero bytes; every window of
 the whole text is scored in batches and the class probabilities are averaged.
 
-The fit sees one window of each row of a bounded sample (``SAMPLE`` rows, spread over the
-languages by a hash of the id); prediction sees every row. Defined cases: a text that is null
+The fit sees one window of each row of a bounded sample: about ``SAMPLE`` rows, or ``EACH`` for
+every language if that is more, equally many of each language as far as it has them, by a hash of
+the row. Every language that any row names is learnt; prediction sees every row. Defined cases: a text that is null
 or has no letter is ``und`` with score 0; rows without a language are not learnt from; with no
 rows to learn from at all, every text is ``und``; equal rows give equal rows; a null id is never
 held out; other columns are ignored.
@@ -24,8 +25,10 @@ from pyspark.sql import functions as F
 from vidra.llm.kernels import buffers, parts
 from vidra.llm.shared import ship
 
-#: Rows of the fit, at most, and distinct languages that it can learn.
-SAMPLE, MAX_LANGUAGES = 4000, 200
+#: Rows of the fit, or rows for each language.
+SAMPLE, EACH = 4000, 20
+#: Languages sent to every executor; beyond it, a shuffle.
+MAX_BROADCAST_LANGUAGES = 100_000
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
 HELD_OUT_MOD, HELD_OUT_REST = 5, 0
 
@@ -57,7 +60,10 @@ class Network:
         return np.maximum(np.concatenate(found, axis=1), 0)
 
     def probabilities(self, windows: np.ndarray) -> np.ndarray:
-        z = self.pooled(windows) @ self.out + self.out_bias
+        return self.from_pooled(self.pooled(windows))
+
+    def from_pooled(self, hidden: np.ndarray) -> np.ndarray:
+        z = hidden @ self.out + self.out_bias
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
@@ -78,18 +84,38 @@ def gather(data: np.ndarray, spans: np.ndarray, size: int = WINDOW) -> np.ndarra
     return np.where(inside, data[np.minimum(at, max(len(data) - 1, 0))], 0).astype(np.uint8)
 
 
+def gradients(net: Network, windows: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """Of the mean cross entropy: for each table, each bias, the output weights and their bias."""
+    where: list[np.ndarray] = []
+    hidden = net.pooled(windows, where)
+    z = net.from_pooled(hidden)
+    z[np.arange(len(y)), y] -= 1
+    z /= len(y)
+    d_hidden = (z @ net.out.T) * (hidden > 0)
+    tables, bias, at = [np.zeros_like(t) for t in net.tables], [], 0
+    for table, p in zip(tables, where):
+        # Only the position of the maximum has a share in a filter's output.
+        filters = table.shape[2]
+        d = d_hidden[:, at : at + filters]
+        at += filters
+        bias.append(d.sum(axis=0))
+        for j in range(len(table)):
+            np.add.at(table[j], (np.take_along_axis(windows, p + j, axis=1), np.broadcast_to(np.arange(filters), p.shape)), d)
+    return [*tables, *bias, hidden.T @ z, z.sum(axis=0)]
+
+
 def train(texts: list[bytes], labels: list[str], epochs: int = 12, batch: int = 128, rate: float = 0.01, seed: int = 7) -> Network:
     """Adam on the cross entropy of single windows of varying length."""
     names = sorted(set(labels))
+    place = {x: i for i, x in enumerate(names)}
     rng = np.random.default_rng(seed)
-    y = np.array([names.index(x) for x in labels])
+    y = np.array([place[x] for x in labels])
     x = np.zeros((len(texts), WINDOW), np.uint8)
     for i, t in enumerate(texts):
         x[i, : min(len(t), WINDOW)] = np.frombuffer(t[:WINDOW], np.uint8)
     net = Network(names, [rng.normal(0, 0.3, (w, 256, FILTERS)).astype(np.float32) for w in WIDTHS], [np.zeros(FILTERS, np.float32) for _ in WIDTHS], rng.normal(0, 0.3, (FILTERS * len(WIDTHS), len(names))).astype(np.float32), np.zeros(len(names), np.float32))
     weights = [*net.tables, *net.bias, net.out, net.out_bias]
     first, second, step = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights], 0
-    columns = np.arange(FILTERS)
     for epoch in range(epochs):
         order = rng.permutation(len(x))
         for a in range(0, len(x), batch):
@@ -97,23 +123,8 @@ def train(texts: list[bytes], labels: list[str], epochs: int = 12, batch: int =
             windows = x[rows].copy()
             if epoch % 2:
                 windows[np.arange(WINDOW) >= rng.integers(24, WINDOW + 1, len(rows))[:, None]] = 0
-            where: list[np.ndarray] = []
-            hidden = net.pooled(windows, where)
-            z = hidden @ net.out + net.out_bias
-            z = np.exp(z - z.max(axis=1, keepdims=True))
-            z /= z.sum(axis=1, keepdims=True)
-            z[np.arange(len(rows)), y[rows]] -= 1
-            z /= len(rows)
-            d_hidden = (z @ net.out.T) * (hidden > 0)
-            grads = [np.zeros_like(t) for t in net.tables]
-            d_bias = []
-            for i, p in enumerate(where):
-                d = d_hidden[:, i * FILTERS : (i + 1) * FILTERS]
-                d_bias.append(d.sum(axis=0))
-                for j in range(len(net.tables[i])):
-                    np.add.at(grads[i][j], (np.take_along_axis(windows, p + j, axis=1), np.broadcast_to(columns, p.shape)), d)
             step += 1
-            for w, g, m, v in zip(weights, [*grads, *d_bias, hidden.T @ z, z.sum(axis=0)], first, second):
+            for w, g, m, v in zip(weights, gradients(net, windows, y[rows]), first, second):
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -124,22 +135,24 @@ def held_out(mod: int, rest: int) -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod == rest, F.lit(False))
 
 
-def sample(docs: DataFrame, rows: int = SAMPLE) -> tuple[list[bytes], list[str]]:
-    """One window of each of at most ``rows`` rows, about equally many of each language."""
-    known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(HELD_OUT_MOD, HELD_OUT_REST))
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not sizes:
+def sample(docs: DataFrame, rows: int = SAMPLE, each: int = EACH) -> tuple[list[bytes], list[str]]:
+    """One window of each of about ``rows`` rows, or ``each`` a language; about equally many of each language."""
+    known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(HELD_OUT_MOD, HELD_OUT_REST)).filter(F.col("text").rlike(r"\p{L}"))
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    languages = sizes.count()
+    if not languages:
         return [], []
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, rows / len(sizes) / r["count"]))).otherwise(share)
-    h = F.xxhash64(F.col("doc_id"))
+    rows = max(rows, each * languages)
+    share = sizes.select("lang", F.least(F.lit(1.0), F.lit(rows / languages) / F.col("n")).alias("share"))
+    if languages <= MAX_BROADCAST_LANGUAGES:
+        share = F.broadcast(share)
+    h = F.xxhash64("doc_id", "text")
     place = F.pmod(F.shiftright(h, 20), F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1)
     picked = (
-        known.filter(F.pmod(h, F.lit(1 << 20)) < share * (1 << 20))
-        .filter(F.col("text").rlike(r"\p{L}"))
+        known.join(share, "lang").filter(F.pmod(h, F.lit(1 << 20)) < F.col("share") * (1 << 20))
         .select(h.alias("h"), "lang", F.encode(F.substring("text", place.cast("int") + 1, F.lit(WINDOW)), "UTF-8").alias("piece"))
-        .orderBy("h", "piece").limit(rows).collect()
+        # Equal rows fall together, so there may be more; twice as many is the bound.
+        .orderBy("h", "piece").limit(2 * rows).collect()
     )
     return [bytes(r["piece"]) for r in picked], [r["lang"] for r in picked]
 

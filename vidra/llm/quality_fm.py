@@ -130,6 +130,19 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.raw(x), -30, 30)))
 
 
+def gradients(w: Machine, x: Features, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the mean logistic loss: for the base; the features that occur; for their linear weights; for their factors."""
+    at = np.searchsorted(x.row, np.arange(x.rows))
+    v = w.factors[x.index] * x.value[:, None]
+    sums = np.add.reduceat(v, at, axis=0)
+    d = (w.score(x) - y) / x.rows
+    each = d[x.row] * x.value
+    index, inverse = np.unique(x.index, return_inverse=True)
+    pairs = each[:, None] * (sums[x.row] - v)
+    by_feature = np.stack([np.bincount(inverse, pairs[:, f], len(index)) for f in range(pairs.shape[1])], axis=1)
+    return float(d.sum()), index, np.bincount(inverse, each, len(index)), by_feature
+
+
 def train(x: Features, y: np.ndarray, epochs: int = 25, batch: int = 128, rate: float = 0.05, decay: float = 1e-5, seed: int = 7) -> Machine:
     """Adagrad on the logistic loss."""
     rng = np.random.default_rng(seed)
@@ -141,24 +154,16 @@ def train(x: Features, y: np.ndarray, epochs: int = 25, batch: int = 128, rate:
         for a in range(0, len(order), batch):
             rows = order[a : a + batch]
             n = bounds[rows + 1] - bounds[rows]
-            at = np.cumsum(n) - n
-            pick = np.repeat(bounds[rows] - at, n) + np.arange(n.sum())
+            pick = np.repeat(bounds[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             part = Features(np.repeat(np.arange(len(rows)), n), x.index[pick], x.value[pick], len(rows))
-            v = w.factors[part.index] * part.value[:, None]
-            sums = np.add.reduceat(v, at, axis=0)
-            out = w.base + np.bincount(part.row, w.linear[part.index] * part.value, part.rows) + 0.5 * (sums * sums - np.add.reduceat(v * v, at, axis=0)).sum(axis=1)
-            d = (1 / (1 + np.exp(-np.clip(out, -30, 30))) - y[rows]) / len(rows)
-            each = d[part.row] * part.value
-            index, inverse = np.unique(part.index, return_inverse=True)
-            gl = np.bincount(inverse, each, len(index)) + decay * w.linear[index]
-            gv = (each[:, None] * (sums[part.row] - v))
-            gv = np.stack([np.bincount(inverse, gv[:, f], len(index)) for f in range(FACTORS)], axis=1) + decay * w.factors[index]
-            g_linear[index] += gl * gl
-            g_factors[index] += gv * gv
-            g_base += d.sum() ** 2
-            w.linear[index] -= rate * gl / np.sqrt(g_linear[index])
-            w.factors[index] -= rate * gv / np.sqrt(g_factors[index])
-            w.base -= rate * d.sum() / np.sqrt(g_base)
+            base, index, linear, factors = gradients(w, part, y[rows])
+            linear, factors = linear + decay * w.linear[index], factors + decay * w.factors[index]
+            g_linear[index] += linear * linear
+            g_factors[index] += factors * factors
+            g_base += base**2
+            w.linear[index] -= rate * linear / np.sqrt(g_linear[index])
+            w.factors[index] -= rate * factors / np.sqrt(g_factors[index])
+            w.base -= rate * base / np.sqrt(g_base)
     return w
 
 
