@@ -72,5 +72,20 @@ def op10_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark, _table(spark, sf_dir, "documents"))
 
 
+def base_op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op3 that SQL can express, from its own rows."""
+    return op3_perplexity(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def base_op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op4 that SQL can express, from its own rows."""
+    return op4_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+
+
+def base_op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op10 that SQL can express, from its own rows."""
+    return op10_license_templates(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op")}
+    return {name: f for name, f in globals().items() if name.startswith(("op", "base_op"))}
