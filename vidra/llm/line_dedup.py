@@ -177,12 +177,11 @@ def dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     rows = docs.select(F.struct(*docs.columns).alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
     found = earlier(spark, rows.select("doc_id", "row", "text"))
     tidy(spark)
-    gone = found.df if count_upto(found.df, MAX_BROADCAST_LINES // 10) > MAX_BROADCAST_LINES // 10 else F.broadcast(found.df)
     every = F.split("text", "\n", -1)
     flagged = F.transform(every, lambda x, i: F.struct(x.alias("x"), F.array_contains("gone", i).alias("out")))
     left = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(F.filter(flagged, lambda s: ~s["out"]), lambda s: s["x"]), "\n"))
     with_words = F.size(F.filter(every, lambda x: x.rlike(_WORD)))
-    return rows.join(gone, ["doc_id", "row"], "left").select(
+    return rows.join(found.df, ["doc_id", "row"], "left").select(
         F.struct(*(left.alias(c) if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns)).alias("doc"),
         F.when(F.col("text").isNull(), 0).otherwise(with_words).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone") - F.col("near"), F.lit(0)).cast("long").alias("n_exact"),
