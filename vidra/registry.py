@@ -66,7 +66,7 @@ def _distinct_words(d: DataFrame) -> DataFrame:
 
 
 def t1_tokenize(spark, sf_dir):
-    return tokens(docs(spark, sf_dir)).select("doc_id", "idx", "text", "char_start", "char_end", "kind")
+    return tokens(docs(spark, sf_dir)).select("doc_id", "idx", "text", "char_start", "char_end", "byte_start", "byte_end", "kind")
 
 
 def t8_scripts(spark, sf_dir):
@@ -277,7 +277,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         t1_tokenize, t8_scripts, t11_words, t14_normalize, t17_candidates, l1_contains, l3_compounds, l5_suggest, l7_cost, l12_top_next, l13_suggest_next, l14_requests, l15_alternatives, m1_analyze, r_spelling, r5_suggestions, r3_latin,
         g_grammar, g_words, check_all, e6_frequencies, e7_bigrams, e8_gaps, e9_flag_rate, e9_by_rule, e9_top_words, e10_shape, e11_typos, e11_missed, e13_positions, e15_settings, t25_fixes, k5_json,
     ]
-    return {f.__name__: f for f in every}
+    from vidra import registry_io
+
+    return {f.__name__: f for f in every} | registry_io.queries()
 
 
 # The same in SQL.
@@ -290,8 +292,8 @@ _UNIT = rf"\s*(?:[\p{{L}}\p{{N}}]+(?:{_SEP}[\p{{L}}\p{{N}}]+)*|{_SEP}\p{{L}}[\p{
 def _tokens(of: str, name: str = "t") -> str:
     return (
         f"{name}u AS (SELECT doc_id, regexp_extract_all(text, '{_UNIT}') AS us FROM {of}), {name}v AS (SELECT doc_id, unnest(us) AS u, generate_subscripts(us, 1) - 1 AS idx FROM {name}u), "
-        f"{name}w AS (SELECT doc_id, idx, u, regexp_replace(u, '^\\s+', '') AS text, sum(length(u)) OVER (PARTITION BY doc_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS e FROM {name}v), "
-        f"{name} AS (SELECT doc_id, idx::INT AS idx, text, (e - length(text))::INT AS char_start, e::INT AS char_end, u <> text AS gap, "
+        f"{name}w AS (SELECT doc_id, idx, u, regexp_replace(u, '^\\s+', '') AS text, sum(length(u)) OVER o AS e, sum(strlen(u)) OVER o AS be FROM {name}v WINDOW o AS (PARTITION BY doc_id ORDER BY idx ROWS UNBOUNDED PRECEDING)), "
+        f"{name} AS (SELECT doc_id, idx::INT AS idx, text, (e - length(text))::INT AS char_start, e::INT AS char_end, (be - strlen(text))::INT AS byte_start, be::INT AS byte_end, u <> text AS gap, "
         f"CASE WHEN regexp_matches(text, '\\p{{L}}') THEN 'word' WHEN regexp_matches(text, '\\p{{N}}') THEN 'number' ELSE 'punct' END AS kind FROM {name}w)"
     )
 
@@ -339,7 +341,7 @@ def oracle_sql() -> dict[str, str]:
     spelled = f"WITH {_D}, {_tokens('d')}, {_KNOWN}, {_SERB}, {_SPELLED} "
     plain = _tokens("documents")
     out = {
-        "t1_tokenize": f"WITH {_D}, {_tokens('d')} SELECT doc_id, idx, text, char_start, char_end, kind FROM t",
+        "t1_tokenize": f"WITH {_D}, {_tokens('d')} SELECT doc_id, idx, text, char_start, char_end, byte_start, byte_end, kind FROM t",
         "t8_scripts": (
             f"WITH {_D}, c AS (SELECT c, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS c FROM d) WHERE c <> '' GROUP BY 1) SELECT c, n, CASE WHEN regexp_matches(c, '^{_MK}$') THEN 'Macedonian' WHEN regexp_matches(c, '^{_CYR}$') THEN 'ForeignCyrillic' "
             f"WHEN regexp_matches(c, '^\\p{{L}}$') THEN 'Latin' WHEN regexp_matches(c, '^\\p{{N}}$') THEN 'Digit' ELSE 'Other' END AS script, regexp_matches(c, '^{_MK}$') AS mk, regexp_matches(c, '^{_CYR}$') AS cyrillic, regexp_matches(c, '^{_SEP}$') AS internal FROM c"
@@ -450,4 +452,6 @@ def oracle_sql() -> dict[str, str]:
     grown = f"dg AS (SELECT doc_id, {put} AS text FROM d)"
     words = _KNOWN.replace("FROM t ", "FROM tk ")
     out["g_words"] = f"WITH {_D}, {grown}, {_tokens('d', 'tk')}, {words}, {_tokens('dg')}, {G.readings()}, {G.features()}, {G.rules()} SELECT * FROM z"
-    return out
+    from vidra import registry_io
+
+    return out | registry_io.oracle_sql()
