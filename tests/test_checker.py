@@ -124,3 +124,17 @@ def test_json_and_report(spark, small):
     assert '"rule":"MK_SPELL"' in tables.as_json(diagnostics).collect()[0].json
     lines = list(tables.report(diagnostics, 1))
     assert lines[0].startswith("✗ 0-6 MK_SPELL книгаа") and lines[-1] == "1 problems in 1 words"
+
+
+def test_gate_and_cap(spark, morph):
+    """Correct sentences stay silent, each slip is named; a cap leaves the rest of a text unchecked."""
+    vocabulary = spark.createDataFrame([(w,) for w in fixtures.LEXICON], "form string")
+    checker = Checker(vocabulary, morph)
+    slips = [(rule, text, want) for rule, text, want in fixtures.GRAMMAR if want]
+    rows = [(i, "", text, text.split()[0], rule) for i, (rule, text, _) in enumerate(slips)] + [(900, "", "", "", "-"), (901, "", "", "", "clean")]
+    probe = spark.createDataFrame(rows, "place long, correct string, perturbed string, wrong_token string, family string")
+    r = evaluate.gate(spark, probe, checker).collect()[0]
+    assert (r["rows"], r.targets, r.uncovered, r.false_positives) == (len(rows), len(slips), 1, 0) and r.hits > 0.5 * len(slips)
+    docs = spark.createDataFrame([(1, "книгаа " * 30)], "doc_id long, text string")
+    spelled = lambda **more: checker.check(docs, suggestions=False, **more).filter("rule = 'MK_SPELL'").count()
+    assert (spelled(), spelled(cap=16)) == (30, 3)

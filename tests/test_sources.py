@@ -91,6 +91,29 @@ def test_names(spark):
     assert sorted(r.name for r in etl.gazetteer(new, old, known).collect()) == ["Битола", "Охрид", "Ржаново"]
 
 
+def test_word_list_and_gazetteer_builds(spark, tmp_path):
+    dic = put(tmp_path / "h.dic", "3\nград/A\nдома\nград/B\n", "windows-1251")
+    etl.prepare_word_list(spark, dic, str(tmp_path / "words"))
+    assert [r.form for r in readers.word_list(spark, str(tmp_path / "words")).collect()] == ["град", "дома"]
+    titles, places, old = put(tmp_path / "t.txt", "Ржаново_(Струшко)\nград\n"), put(tmp_path / "p.txt", "Битола\nСкопје\t41\n"), put(tmp_path / "o.txt", "Охрид\nДома\n")
+    known = readers.known_words(spark, str(tmp_path / "words"))
+    etl.build_gazetteer(spark, [titles], [places], old, known, known, str(tmp_path / "g"))
+    assert [r.form for r in readers.word_list(spark, str(tmp_path / "g")).collect()] == ["Битола", "Охрид", "Ржаново"]
+    with pytest.raises(ValueError, match="no names"):
+        etl.build_gazetteer(spark, [put(tmp_path / "e.txt", "# nothing\n")], [], old, known, known, str(tmp_path / "g2"))
+
+
+def test_rules_are_toggled_and_reset(spark):
+    from vidra.plans import settings
+
+    some = settings.find_rules(spark, group="Стил")
+    off = settings.toggle({"userWords": ["а"], "rulesOff": ["MK_SPELL"]}, True, some)
+    assert off["rulesOff"] == ["MK_SPELL", "MK_SERBIANISM"] and settings.toggle(off, False, some)["rulesOff"] == ["MK_SPELL"]
+    assert settings.reset(off) == settings.normalise({"userWords": ["а"]})
+    every = settings.toggle({}, True, settings.rules(spark))
+    assert len(every["rulesOff"]) == 19
+
+
 def test_command_line(spark, tmp_path, capsys):
     words = put(tmp_path / "w.txt", "книга\nдома\n")
     assert cli.run(spark, ["build-lexicon", str(tmp_path / "lex"), words]) == 0

@@ -32,8 +32,10 @@ class Checker:
         """The optional tables that are missing."""
         return [name for name in ("morph", "freq", "bigram") if getattr(self, name) is None]
 
-    def check(self, docs: DataFrame, suggestions: bool = True) -> DataFrame:
-        """Diagnostics of documents (doc_id, text), with rule_order, which breaks ties of equal spans."""
+    def check(self, docs: DataFrame, suggestions: bool = True, cap: int | None = None) -> DataFrame:
+        """Diagnostics of documents (doc_id, text), with rule_order, which breaks ties of equal spans; ``cap`` limits the code points that are checked, as an editor does, and is off by default."""
+        if cap is not None:
+            docs = docs.withColumn("text", F.left("text", F.lit(cap)))
         out = spelling.check(docs, self.lexicon, self.freq, self.bigram, suggestions)
         return out if self.morph is None else out.unionByName(grammar.check(tokens(docs, together=True), self.lexicon, self.morph))
 

@@ -57,6 +57,19 @@ def enabled_sources(docs: DataFrame, settings: dict, column: str = "source") ->
     return docs.filter(F.lit(s["enabled"]) & ~F.coalesce(F.col(column).isin(s["siteOff"]), F.lit(False)))
 
 
+def toggle(settings: dict, off: bool, chosen: DataFrame) -> dict:
+    """Settings with all rules of ``chosen`` (of ``find_rules``) turned off, or on again."""
+    s = normalise(settings)
+    names = [r["rule"] for r in chosen.select("rule").collect()]  # the catalogue has nineteen
+    kept = [r for r in s["rulesOff"] if r not in names]
+    return s | {"rulesOff": kept + sorted(names) if off else kept}
+
+
+def reset(settings: dict) -> dict:
+    """Defaults again; the words of the user stay."""
+    return normalise({}) | {"userWords": normalise(settings)["userWords"]}
+
+
 def ignore(settings: dict, word: str) -> dict:
     """Settings with one more word of the user's own."""
     s = normalise(settings)
