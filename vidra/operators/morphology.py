@@ -28,9 +28,9 @@ def reading(lemma: str = "lemma", tags: str = "tags") -> Column:
 
 
 def build(rows: DataFrame) -> DataFrame:
-    """morph(surface, readings) of rows (surface, lemma, tags, place): each reading once, in order of its first place."""
+    """morph(surface, readings) of rows (surface, lemma, tags, place): each reading once, in order of its first place, of any type that can be ordered."""
     once = rows.groupBy("surface", "lemma", "tags").agg(F.min("place").alias("place"))
-    lists = once.select("surface", F.struct("place", reading().alias("r")).alias("x")).groupBy("surface").agg(F.array_sort(F.collect_list("x"), lambda a, b: F.signum(a["place"] - b["place"]).cast("int")).alias("xs"))
+    lists = once.select("surface", F.struct("place", reading().alias("r")).alias("x")).groupBy("surface").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     return lists.select("surface", F.slice(F.transform("xs", lambda x: x["r"]), 1, MAX_READINGS).alias("readings"))
 
 

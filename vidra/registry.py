@@ -21,6 +21,8 @@ from vidra.operators import grammar, lexicon, morphology, ngrams
 from vidra.operators.tokens import tokens, words_beside
 from vidra.plans import etl, evaluate, settings
 from vidra.plans.checker import Checker, collected
+from vidra.sources import tables
+from vidra.sources.scratch import scratch
 
 KNOWN_FROM = 3
 _LATIN, _CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абцдефгхијклмнопќрстувљџњз"
@@ -54,7 +56,9 @@ def known(documents: DataFrame) -> DataFrame:
     """(form): words of at least KNOWN_FROM documents."""
     words = documents.select("doc_id", F.explode(X.words(X.tokenize("text"))).alias("t")).select("doc_id", F.lower("t.text").alias("form")).distinct()
     # A lexicon is a table elsewhere; here it is worked out, and read several times.
-    return words.groupBy("form").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= KNOWN_FROM).select("form").persist()
+    path = scratch(documents.sparkSession, "known")
+    tables.write(words.groupBy("form").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= KNOWN_FROM).select("form"), "lexicon", path)
+    return tables.read(documents.sparkSession, "lexicon", path)
 
 
 def lines(documents: DataFrame) -> DataFrame:

@@ -11,13 +11,15 @@ from vidra import grammar_sql as G
 from vidra import registry as R
 from vidra import search_sql as S
 from vidra.functions import fixed
+from vidra.functions import sql as functions
 from vidra.functions import text as X
 from vidra.operators import lexicon, morphology, ngrams
 from vidra.operators.tokens import words_beside
 from vidra.plans import etl, settings
-from vidra.plans.checker import ordered
+from vidra.plans.checker import Checker, ordered
 from vidra.sources import readers, tables
 from vidra.sources.scratch import scratch
+from vidra.streaming.check import check_stream, token_stream
 
 
 def _counted(lines: DataFrame) -> DataFrame:
@@ -200,10 +202,43 @@ def e20_rules(spark, sf_dir):
     return settings.find_rules(spark, "ИТ", "Граматика")
 
 
+def f_sql(spark, sf_dir):
+    """The SQL functions, by their names."""
+    functions.register(spark)
+    words = R._distinct_words(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return words.selectExpr("word", "vidra_is_acronym(word) AS acronym", "vidra_is_all_latin(word) AS latin", "vidra_script_issue(word) AS issue", "vidra_capitalize(word) AS capitalized")
+
+
+def _stream(spark, sf_dir) -> DataFrame:
+    """The documents as a stream of files."""
+    path = scratch(spark, "stream-in")
+    d = R.docs(spark, sf_dir).select("doc_id", "text")
+    d.write.parquet(path)
+    return spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 4).parquet(path)
+
+
+def st_tokens(spark, sf_dir):
+    """Tokens of a stream of documents."""
+    out = scratch(spark, "stream-out")
+    rows = token_stream(_stream(spark, sf_dir)).select("doc_id", "idx", "text", "char_start", "char_end", "byte_start", "byte_end", "kind")
+    rows.writeStream.option("checkpointLocation", scratch(spark, "stream-state")).trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.parquet(out)
+
+
+def st_check(spark, sf_dir):
+    """The spelling check of a stream of documents, micro-batch by micro-batch."""
+    out = scratch(spark, "stream-out")
+    found = ["doc_id", "rule", "severity", "char_start", "char_end", "text"]
+    checker = Checker(R.known(R.docs(spark, sf_dir)))
+    # Written by batch, so that a batch that is run again takes the place of its first attempt.
+    check_stream(_stream(spark, sf_dir), checker, lambda rows, n: rows.select(*found).write.mode("overwrite").parquet(f"{out}/batch={n}"), scratch(spark, "stream-state")).awaitTermination()
+    return spark.read.parquet(out).select(*found)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = [
         s2_word_list, k1_lexicon, s15_known_words, k2_morphology, k3_frequency, k4_bigrams, k10_ignored, s10_dump, s11_vertical, s13_plain, e4_dictionary, j5_new_analyses, e2_paradigms,
-        e5_gazetteer, t20_markup, m3_participles, m5_summary, m6_dump, l10_counts, j6_search, o1_ordered, e20_rules,
+        e5_gazetteer, t20_markup, m3_participles, m5_summary, m6_dump, l10_counts, j6_search, o1_ordered, e20_rules, f_sql, st_tokens, st_check,
     ]
     return {f.__name__: f for f in every}
 
@@ -256,6 +291,12 @@ def oracle_sql() -> dict[str, str]:
             f"{morph}, c AS (SELECT surface, count(*)::INT AS readings FROM rr GROUP BY 1), p AS (SELECT DISTINCT lemma, surface FROM rr WHERE list_contains(tags, 'lp')) "
             "SELECT lemma, (row_number() OVER (PARTITION BY lemma ORDER BY p.surface) - 1)::INT AS place, p.surface, readings FROM p JOIN c USING (surface)"
         ),
+        "f_sql": (
+            f"WITH {R._tokens('documents')}, w AS ({words}) SELECT word, {R._ACRONYM.replace('§', 'word')} AS acronym, NOT regexp_matches(word, '{R._CYR}') AND regexp_matches(word, '\\p{{L}}') AS latin, {R._ISSUE.replace('§', 'word')} AS issue, "
+            "CASE WHEN word[1] = 'ß' THEN 'SS' ELSE upper(word[1]) END || word[2:] AS capitalized FROM w"
+        ),
+        "st_tokens": f"{tokens} SELECT doc_id, idx, text, char_start, char_end, byte_start, byte_end, kind FROM t",
+        "st_check": f"{known}, {R._SERB}, {R._SPELLED} SELECT doc_id, rule, severity, char_start, char_end, text FROM s",
         "m5_summary": f"{morph} SELECT count(DISTINCT surface) AS forms, count(DISTINCT lemma) AS lemmas FROM rr",
         "m6_dump": f"{morph}, w AS ({words}) SELECT word, lemma, array_to_string(tags, '.') AS tags FROM w LEFT JOIN rr ON rr.surface = CASE WHEN word IN (SELECT surface FROM rr) THEN word ELSE lower(word) END",
         "l10_counts": (
