@@ -40,3 +40,38 @@ def test_near_duplicates_go_by_row(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     left = sorted(((r.doc_id or 0, r.text or "") for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()))
     assert left == sorted([(1, a), (0, b), (2, c), (3, d), (4, e), (0, ""), (0, "")])
+
+
+def odd_rows(rng):
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 9))) for _ in range(300)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    clean = [(i, f"{text(70)}\n{text(40)}", "en", "s", 700) for i in range(60)]
+    a, b = text(90), "long " + text(30_000)
+    return clean + [
+        (100, None, None, None, None), (101, "", "en", "s", 0), (102, "  \n\n ", None, "s", None), (None, a, "en", None, None), (None, a, "en", None, None), (103, a + " end", None, "s", 5),
+        (104, b, "en", "s", 9), (104, b, "en", "s", 9), (5, text(80), "en", "s", 3), (5, None, "en", "s", 3), (None, None, None, None, None), (105, "é😀 " * 60, "xx", "s", 1),
+    ]
+
+
+def test_stages_take_odd_rows_and_columns(spark, tmp_path):
+    rng = random.Random(16)
+    rows = odd_rows(rng)
+    extra = "_key string, row int, gone string, class string, token int, h string, bits string, doc string"
+    docs = spark.createDataFrame([(*r, "k", 1, "g", "c", 2, "h", "b", "d") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + extra)
+    spark.createDataFrame([(1, "w1 w2 w3 " * 8), (None, None), (2, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    key = lambda r: tuple(str(x) for x in r)
+    left = {}
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, str(tmp_path))
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        left[name] = sorted((tuple(r) for r in got.collect()), key=key)
+    texts = lambda name: sorted(((r[0], r[1]) for r in left[name]), key=key)
+    # Null and empty texts fail the base rules and stay in all other stages; equal rows go or stay alike but for near duplicates.
+    assert texts("quality rules") == sorted(((r[0], r[1]) for r in rows if r[1] and len(r[1].split()) >= 50 and r[0] != 105), key=key)
+    once = texts("line dedup")
+    assert all((i, None) in once for i in (5, 100, None)) and (101, "") in once and (102, "  \n\n ") in once
+    assert sum(r[0] == 104 for r in left["line dedup"]) == 2 and len(left["line dedup"]) == len(rows)
+    near = texts("near duplicates")
+    assert len(near) == len(rows) - 3 and sum(r[0] == 104 for r in near) == 1 and sum(r[0] == 103 for r in near) == 1 and (None, rows[63][1]) not in near
+    assert texts("decontamination") == sorted(((r[0], r[1]) for r in rows), key=key)
+    assert sorted(r[1] == 0 for r in left["tokens"]).count(True) == 4 and len(left["tokens"]) == len(rows)

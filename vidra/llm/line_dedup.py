@@ -149,6 +149,7 @@ def earlier(spark: SparkSession, docs: DataFrame) -> Kept:
     agree = around.df.groupBy("around").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo < hi").select("around")
     shared = around.df.join(agree, "around", "left_semi").groupBy("h").agg(F.collect_set("around").alias("shared"))
     keyed = Kept(spark, _variants(texts.df.join(shared, "h")), "variants")
+    tidy(spark)
     own = F.struct("doc_id", "line_no", "h")
     least = keyed.df.groupBy("key").agg(*(F.min(F.when(F.col("role") == i, own)).alias(f"m{i}") for i in range(3)), F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo < hi")
     met = F.when(F.col("role") == 0, F.col("m0")).when(F.col("role") == 1, F.col("m2")).otherwise(F.col("m1"))

@@ -304,6 +304,7 @@ def components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     sets.drop()
     tidy(spark)
     grouped = _groups(able.df, spark)
+    tidy(spark)
     opened, more = _opened(grouped.df, spark)
     links = Kept(spark, _links(grouped.df, opened.df), "links")
     for x in (candidates, able, grouped, opened, *more):
@@ -313,6 +314,7 @@ def components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     merged = rows.df.filter("size > 0").join(_small(found), F.col("class") == F.col("node")).groupBy("component").agg(F.min("doc_id").alias("least"))
     merged = Kept(spark, found.join(merged, "component").select(F.col("node").alias("class"), "least"), "merged")
     alone = rows.df.filter("size > 0").groupBy("class").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("class", "first")
+    tidy(spark)
     leads = Kept(spark, alone.join(merged.df, "class", "full").select("class", F.coalesce("least", "first").alias("component_id")), "leads")
     out = rows.df.join(_small(leads.df), "class", "left")
     known = lambda c: F.nullif(c, F.lit(_LAST))

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vidra.llm.kernels import buffers, lut, mix, ngram_hashes, parts, per_row, word_hashes, word_spans
-from vidra.llm.shared import Kept, count_upto, keep, ship
+from vidra.llm.shared import Kept, count_upto, keep, ship, tidy
 
 ORDER, MAX_GRAMS, BINS = 5, 1 << 22, 1024
 WIDTH_LOW, WIDTH_HIGH, LEAST = 8.0, 4.0, 0.1
@@ -229,6 +229,7 @@ def fit(spark: SparkSession, docs: DataFrame) -> Fitted:
         grams, contexts = own if grams is None else (grams.unionByName(own[0]), contexts.unionByName(own[1]))
     for x in held:
         x.drop()
+    tidy(spark)
     return Fitted(grams, contexts)
 
 
@@ -346,6 +347,7 @@ def scored(spark: SparkSession, docs: DataFrame, model: Fitted, whole: bool = Fa
         if now is not None:
             now.drop()
         now = new
+    tidy(spark)
     return now.df
 
 
