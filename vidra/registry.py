@@ -272,8 +272,8 @@ def k5_json(spark, sf_dir):
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The check of all documents, without suggestions."""
-    return r_spelling(spark, sf_dir)
+    """The whole check of all documents: spelling, ranked suggestions, grammar."""
+    return check_all(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
