@@ -92,16 +92,21 @@ _shipped: dict[str, str] = {}
 #: Bytes of an Arrow batch sent to Python; rows can be of any size, and a task holds a few copies of a batch.
 BATCH_BYTES = 16 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Characters of a plan's description, which the driver keeps for every query that it ran.
+PLAN_CHARS = 1 << 14
+_PLAN = "spark.sql.maxPlanStringLength"
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once for each application, wherever the driver imported it from; keep Arrow batches small."""
+    """Give the executors this package, once for each application, wherever the driver imported it from; keep Arrow batches and plan descriptions small."""
     import os
     import zipfile
 
     now = spark.conf.get(_BATCH, "64m").strip().lower()
     if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH_BYTES:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
+    if int(spark.conf.get(_PLAN, str(2**31 - 1)).rstrip("bB")) > PLAN_CHARS:
+        spark.conf.set(_PLAN, str(PLAN_CHARS))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
