@@ -105,7 +105,7 @@ def ship(spark: SparkSession) -> None:
     now = spark.conf.get(_BATCH, "64m").strip().lower()
     if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH_BYTES:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
-    if int(spark.conf.get(_PLAN, str(2**31 - 1)).rstrip("bB")) > PLAN_CHARS:
+    if int(spark.conf.get(_PLAN).rstrip("bB")) > PLAN_CHARS:
         spark.conf.set(_PLAN, str(PLAN_CHARS))
     app = spark.sparkContext.applicationId
     if app in _shipped:
