@@ -166,8 +166,21 @@ def _groups(able: DataFrame, spark: SparkSession) -> Kept:
     votes = sample.join(lead, "token").filter("leader <> class").groupBy("class", "leader").agg(F.count(F.lit(1)).alias("n"))
     chosen = votes.groupBy("class").agg(F.max(F.struct("n", "leader"))["leader"].alias("leader"))
     pairs = chosen.join(able, "class").join(able.select(F.col("class").alias("leader"), F.col("size").alias("lead_size"), F.col("tokens").alias("lead_tokens")), "leader")
-    joined = connected_components(spark, _similar(pairs), "class", "leader")
-    return Kept(spark, able.join(joined.withColumnsRenamed({"node": "class", "component": "group"}), "class", "left").withColumn("group", F.coalesce("group", "class")), "groups")
+    joined = _roots(spark, _similar(pairs))
+    out = Kept(spark, able.join(joined.df.select("class", F.col("leader").alias("group")), "class", "left").withColumn("group", F.coalesce("group", "class")), "groups")
+    joined.drop()
+    return out
+
+
+def _roots(spark: SparkSession, leaders: DataFrame) -> Kept:
+    """(class, leader) with the last leader of each class; a leader stands before its followers in one order, so there are no circles."""
+    now = Kept(spark, leaders.withColumn("moved", F.lit(True)), "leaders")
+    while now.df.filter("moved").limit(1).count():
+        above = now.df.select(F.col("class").alias("leader"), F.col("leader").alias("higher"))
+        new = Kept(spark, now.df.join(above, "leader", "left").select("class", F.coalesce("higher", "leader").alias("leader"), F.col("higher").isNotNull().alias("moved")), "leaders")
+        now.drop()
+        now = new
+    return now
 
 
 def _column(tokens: str) -> Column:
