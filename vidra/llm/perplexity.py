@@ -202,31 +202,37 @@ class Fitted:
         return Model(*found, low, high)
 
 
+def _one_file(table: DataFrame, order: int) -> DataFrame:
+    """Tables of n-grams of two bytes at most have 65,536 rows at most, and go to one file."""
+    return table.coalesce(1) if order <= 2 else table
+
+
 def fit(spark: SparkSession, docs: DataFrame) -> Fitted:
     """The model of all texts."""
     ship(spark)
     held = [Kept(spark, count(docs), "grams")]
     for n in range(ORDER - 1, 0, -1):
-        held.append(Kept(spark, held[-1].df.select(F.col("g").bitwiseAND((1 << 8 * n) - 1).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("c")), "grams"))
+        lower = held[-1].df.select(F.col("g").bitwiseAND((1 << 8 * n) - 1).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("c"))
+        held.append(Kept(spark, _one_file(lower, n), "grams"))
     lower, grams, contexts = None, None, None
     for n, table in enumerate((x.df for x in reversed(held)), 1):
-        few = {r["c"]: r["n"] for r in table.filter("c <= 4").groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
-        n1, n2, n3, n4 = (few.get(i, 0) for i in (1, 2, 3, 4))
+        n1, n2, n3, n4 = table.agg(*(F.count_if(F.col("c") == i) for i in (1, 2, 3, 4))).collect()[0]
         y = n1 / (n1 + 2 * n2) if n1 + 2 * n2 else 0.5
         d = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
         d = [min(max(x, 0.05), i + 0.95) for i, x in enumerate(d)]
         off = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
         context = F.shiftright("g", 8).alias("context")
         masses = table.groupBy(context).agg(F.sum("c").alias("total"), (F.sum(off) / F.sum("c")).alias("mass"))
-        masses = keep(spark, masses, "contexts")
+        masses = keep(spark, _one_file(masses, n - 1), "contexts")
         found = table.select("g", context, (F.col("c") - off).alias("own")).join(masses, "context")
         below = F.lit(1 / 256)
         if lower is not None:
             found = found.withColumn("rest", F.col("g").bitwiseAND((1 << 8 * (n - 1)) - 1)).join(lower.select(F.col("g").alias("rest"), F.col("p").alias("below")), "rest")
             below = F.col("below")
-        lower = keep(spark, found.select("g", (F.greatest("own", F.lit(0.0)) / F.col("total") + F.col("mass") * below).alias("p")), "probabilities")
+        lower = keep(spark, _one_file(found.select("g", (F.greatest("own", F.lit(0.0)) / F.col("total") + F.col("mass") * below).alias("p")), n), "probabilities")
         own = [lower.select(F.lit(n).alias("n"), "g", F.log2("p").alias("value")), masses.select(F.lit(n).alias("n"), F.col("context").alias("g"), F.log2("mass").alias("value"))]
         grams, contexts = own if grams is None else (grams.unionByName(own[0]), contexts.unionByName(own[1]))
+        tidy(spark)
     for x in held:
         x.drop()
     tidy(spark)
