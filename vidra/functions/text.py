@@ -17,6 +17,8 @@ _A, _AN, _SEP = r"\p{IsAlphabetic}", r"[\p{IsAlphabetic}\p{N}]", r"['\x{2019}\x{
 #: One token with the white space before it, or the white space at the end; all loops are possessive.
 UNIT = rf"\p{{IsWhite_Space}}*+(?:{_AN}++(?:{_SEP}{_AN}++)*+|{_SEP}{_A}{_AN}*+(?:{_SEP}{_A}{_AN}*+)*+|[^\p{{IsWhite_Space}}]|\z)"
 _BLOCK = 256
+#: The characters of white space.
+_SPACE = "".join(f"\\u{c:04X}" for c in (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 
 Word = Column | str
 
@@ -32,9 +34,9 @@ def tokenize(text: str) -> Column:
     that the time stays linear in very long texts. No shuffle, no window: it runs on streams too.
     """
     item = (
-        "transform(filter(regexp_extract_all({t}, r'{unit}', 0), u -> u <> ''), u -> transform(array(regexp_replace(u, r'^\\p{{IsWhite_Space}}+', '')), "
+        "transform(filter(regexp_extract_all({t}, r'{unit}', 0), u -> u <> ''), u -> transform(array(trim(LEADING '{space}' FROM u)), "
         "w -> named_struct('w', w, 'c', char_length(u), 'b', octet_length(u), 'cw', char_length(w), 'bw', octet_length(w)))[0])"
-    ).format(t="body", unit=UNIT.replace("'", r"\x{27}"))
+    ).format(t="body", unit=UNIT.replace("'", r"\x{27}"), space=_SPACE)
     tok = "STRUCT<idx: INT, text: STRING, char_start: INT, char_end: INT, byte_start: INT, byte_end: INT, kind: STRING>"
     kind = rf"CASE WHEN x.w rlike r'\p{{IsAlphabetic}}' THEN 'word' WHEN x.w rlike r'\p{{N}}' THEN 'number' ELSE 'punct' END"
     one = (
